@@ -63,7 +63,7 @@ class UnitTokenizer:
 
     def _learn(self, units: set[str]) -> None:
         known = self.known
-        if len(known) + len(units) > CACHE_UNITS:
+        if len(known) > CACHE_UNITS:
             known.clear()
         tails = {}
         todo = set()
@@ -88,10 +88,8 @@ class UnitTokenizer:
         try:
             return b"".join(map(self.known.__getitem__, units))
         except KeyError:
-            distinct = set(units)
-            self._learn(distinct - self.known.keys())
-            if not distinct <= self.known.keys():  # the cache started anew
-                self._learn(distinct - self.known.keys())
+            while missing := {u for u in units if u not in self.known}:  # twice where the cache starts anew
+                self._learn(missing)
             return b"".join(map(self.known.__getitem__, units))
 
     def encode(self, text: str) -> bytes:
