@@ -34,7 +34,7 @@ class Scratch:
         """Write df and return the table read back with the same schema."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: int) -> None:
