@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from traceloom.llm import mixing, preference_format
+
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -40,11 +42,44 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from traceloom.llm.line_dedup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), "text", "lang", "source", "n_chars")
+
+
+def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k and 2k + 1 are the chosen and the rejected side of pair k."""
+    from traceloom.llm.preference_format import preference_pairs
+
+    return preference_pairs(table(spark, sf_dir, "conversations"), F.expr("conv_id div 2"), F.expr("conv_id % 2 = 0"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from traceloom.llm.mixing import mixing_weights
+
+    return mixing_weights(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from traceloom.llm.quality_classifier import quality_classifier
+
+    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_quality_rules": op6_quality_rules,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
+    "op1_line_dedup": op1_line_dedup,
+    "op3_preference_format": op3_preference_format,
+    "op9_mixing": op9_mixing,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_preference_format": preference_format.ORACLE,
+    "op9_mixing": mixing.oracle(),
+}
