@@ -74,6 +74,12 @@ def op7_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from traceloom.llm.language_model import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_quality_classifier": op10_quality_classifier,
     "op7_vector_search": op7_vector_search,
+    "op5_language_model": op5_language_model,
 }
 
 ORACLE_SQL: dict[str, str] = {
