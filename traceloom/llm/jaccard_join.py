@@ -8,13 +8,16 @@
    linked set can lack, so linked sets share K shingles of their prefixes: of the two
    prefixes, take the one that ends first; at most M of its shingles are missing in the
    other set, and those not missing lie within the other's prefix.
-3. Nodes with the same prefix and size are one group.  Group prefixes are joined on
-   shingles.  Groups that share fewer than K shingles with any others leave before the
-   join; pairs go by their sizes and by the exact lower bound that parity sketches give
-   for the symmetric difference.
-4. Groups are expanded into member pairs, and each pair is verified on its whole texts.
+3. Nodes with the same prefix and size are one group.  Group prefixes meet in shingles.
+   Groups that share fewer than K shingles with any others leave first; pairs go by their
+   sizes and by the exact lower bound that parity sketches give for the symmetric
+   difference.
+4. First only neighbours in a shingle's rows are compared, a number that does not grow
+   with the square of a group.  Then all pairs that may link and are not connected yet.
+5. Groups are expanded into member pairs, and each pair is verified on its whole texts.
    Pairs are dealt by connected groups of candidates, large ones cut into blocks, so a
    text is sent once for each block pair that needs it and no task gets a whole group.
+6. Links are counted within components, block against block, without making pairs rows.
 
 Defined results
 * null or empty text, or no word: no shingles, linked with nothing;
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.llm.components import connected_components
@@ -152,33 +155,87 @@ def _may_link(a: str, b: str, num: int, den: int, sketched: bool = True):
     return sizes & F.coalesce(differing <= both - 2 * common, F.lit(True))
 
 
-def candidate_pairs(nodes: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Distinct pairs (a, b) of nodes that may link, a before b."""
-    row = F.struct("n", "shared", "prefix", *_SKETCH)
-    groups = nodes.groupBy("grp").agg(F.count("*").alias("members"), F.min_by(row, "node").alias("r"))
-    one = lambda c: F.when(F.col("members") == 1, F.col(f"r.{c}")).alias(c)
-    groups = scratch.keep(groups.select("grp", "members", F.col("r.n").alias("n"), F.col("r.shared").alias("shared"), F.col("r.prefix").alias("prefix"), *map(one, _SKETCH)))
-    tokens = groups.select("grp", "shared", F.explode("prefix").alias("token"))
-    met = tokens.groupBy("token").agg(F.count("*").alias("times")).where("times > 1").select("token")
-    # groups that meet others in enough shingles, with the shingles they meet them in
-    meeting = scratch.keep(tokens.join(met, "token"))
-    enough = meeting.groupBy("grp").agg(F.count("*").alias("hits"), F.first("shared").alias("shared")).where("hits >= shared").select("grp")
-    slim = groups.join(enough, "grp").select("grp", "n", "shared", *_SKETCH)
-    rows = meeting.select("grp", "token").join(slim, "grp")
-    x, y = rows.alias("x"), rows.alias("y")
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.grp") < F.col("y.grp")) & _may_link("x", "y", num, den))
-    pairs = pairs.groupBy(F.col("x.grp").alias("ga"), F.col("y.grp").alias("gb"), F.least("x.shared", "y.shared").alias("least")).agg(F.count("*").alias("hits")).where("hits >= least").select("ga", "gb")
-    slim = nodes.select("grp", "node", "n", *_SKETCH)
-    a, b = slim.alias("a"), slim.alias("b")
-    across = pairs.join(a, F.col("ga") == F.col("a.grp")).join(b, F.col("gb") == F.col("b.grp")).where(_may_link("a", "b", num, den))
-    several = slim.join(groups.where("members > 1").select("grp"), "grp")
-    c, d = several.alias("a"), several.alias("b")
-    within = c.join(d, (F.col("a.grp") == F.col("b.grp")) & (F.col("a.node") < F.col("b.node")) & _may_link("a", "b", num, den))
-    return across.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).unionByName(within.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))).distinct()
+class Candidates:
+    """Groups of nodes that share enough prefix shingles with others, and their shingles."""
+
+    def __init__(self, nodes: DataFrame, num: int, den: int, scratch: Scratch):
+        self.num, self.den, self.scratch = num, den, scratch
+        row = F.struct("n", "shared", "prefix", *_SKETCH)
+        groups = nodes.groupBy("grp").agg(F.count("*").alias("members"), F.min_by(row, "node").alias("r"))
+        one = lambda c: F.when(F.col("members") == 1, F.col(f"r.{c}")).alias(c)
+        groups = scratch.keep(groups.select("grp", "members", F.col("r.n").alias("n"), F.col("r.shared").alias("shared"), F.col("r.prefix").alias("prefix"), *map(one, _SKETCH)))
+        tokens = groups.select("grp", "shared", F.explode("prefix").alias("token"))
+        met = tokens.groupBy("token").agg(F.count("*").alias("times")).where("times > 1").select("token")
+        meeting = scratch.keep(tokens.join(met, "token"))
+        enough = meeting.groupBy("grp").agg(F.count("*").alias("hits"), F.first("shared").alias("shared")).where("hits >= shared").select("grp")
+        slim = groups.join(enough, "grp").select("grp", "n", "shared", *_SKETCH)
+        self.rows = scratch.keep(meeting.select("grp", "token").join(slim, "grp"))
+        several = groups.where("members > 1").select("grp")
+        self.members = scratch.keep(nodes.select("grp", "node", "n", *_SKETCH).join(enough.unionByName(several).distinct(), "grp"))
+
+    def neighbours(self) -> DataFrame:
+        """Pairs of neighbours: in each shingle's rows, ordered by a part of the sketch, and in each group.
+
+        As many as there are rows, whatever the size of a group; they join most of what is linked.
+        """
+        words = F.element_at(F.array(*_SKETCH), F.expr(f"cast(pmod(token, {SKETCH_WORDS}) as int) + 1"))
+        w = Window.partitionBy("token").orderBy(words, "n", "grp")
+        row = F.struct("grp", "n", *_SKETCH)
+        x = self.rows.select(row.alias("x"), F.lag(row).over(w).alias("y")).where("y is not null").where(_may_link("x", "y", self.num, self.den))
+        pairs = x.select(F.least("x.grp", "y.grp").alias("ga"), F.greatest("x.grp", "y.grp").alias("gb")).distinct()
+        first = self.members.groupBy("grp").agg(F.min("node").alias("node"))
+        across = pairs.join(first.select(F.col("grp").alias("ga"), F.col("node").alias("a")), "ga").join(first.select(F.col("grp").alias("gb"), F.col("node").alias("b")), "gb").select("a", "b")
+        m = F.struct("node", "n", *_SKETCH)
+        near = self.members.select(m.alias("x"), F.lag(m).over(Window.partitionBy("grp").orderBy(*_SKETCH, "node")).alias("y")).where("y is not null").where(_may_link("x", "y", self.num, self.den))
+        both = across.unionByName(near.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+        return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def across(self, parts: DataFrame) -> DataFrame:
+        """All pairs that may link and are not in one component yet.  parts: node, component."""
+        members = self.scratch.keep(self.members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        # a group stands for its members' component; a group with several is compared with all
+        of = members.groupBy("grp").agg(F.min("component").alias("component"), F.max("component").alias("other"))
+        of = self.scratch.keep(of.select("grp", F.when(F.col("component") == F.col("other"), F.col("component")).alias("component")))
+        rows = self.rows.join(of, "grp")
+        mixed = rows.groupBy("token").agg(F.min("component").alias("one"), F.max("component").alias("other"), F.count("*").alias("all"), F.count("component").alias("sure")).where("one != other or sure < all").select("token")
+        rows = rows.join(mixed, "token")
+        x, y = rows.alias("x"), rows.alias("y")
+        apart = F.coalesce(F.col("x.component") != F.col("y.component"), F.lit(True))
+        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.grp") < F.col("y.grp")) & apart & _may_link("x", "y", self.num, self.den))
+        pairs = pairs.groupBy(F.col("x.grp").alias("ga"), F.col("y.grp").alias("gb"), F.least("x.shared", "y.shared").alias("least")).agg(F.count("*").alias("hits")).where("hits >= least").select("ga", "gb")
+        a, b = members.alias("a"), members.alias("b")
+        may = (F.col("a.component") != F.col("b.component")) & _may_link("a", "b", self.num, self.den)
+        between = pairs.join(a, F.col("ga") == F.col("a.grp")).join(b, (F.col("gb") == F.col("b.grp")) & may)
+        several = members.join(of.where("component is null").select("grp"), "grp")
+        c, d = several.alias("a"), several.alias("b")
+        within = c.join(d, (F.col("a.grp") == F.col("b.grp")) & (F.col("a.node") < F.col("b.node")) & may)
+        return between.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).unionByName(within.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))).distinct()
+
+
+def _texts_for(needed: DataFrame, docs: DataFrame, where: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """needed with the text of each row's node; where: a document id for each node."""
+    wanted = needed.join(where.select("node", F.col(id_col).alias("wanted")), "node").drop("node")
+    return docs.select(F.col(id_col).alias("found"), F.col(text_col).alias("text")).join(wanted, F.col("found").eqNullSafe(F.col("wanted"))).drop("found", "wanted")
+
+
+def _named_sets(texts: list[bytes], k: int) -> dict[bytes, np.ndarray]:
+    of: dict[bytes, np.ndarray] = {}
+    for lo, hi in chunks(texts):
+        _, value, n = _sets(texts[lo:hi], k)
+        ends = np.cumsum(n)
+        for i, name in enumerate(_set_names(value, n)):
+            if name is not None and name not in of:
+                of[name] = value[ends[i] - n[i] : ends[i]].copy()
+    return of
+
+
+def _links(s: np.ndarray, t: np.ndarray, num: int, den: int) -> bool:
+    common = len(np.intersect1d(s, t, assume_unique=True))
+    return den * common >= num * (len(s) + len(t) - common)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, where: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
-    """The pairs whose sets, made from whole texts, reach the similarity.  where: a document id for each node."""
+    """The pairs whose sets, made from whole texts, reach the similarity."""
     pairs = scratch.keep(pairs)
     clusters = scratch.keep(connected_components(pairs, scratch))
     blocks = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
@@ -186,50 +243,97 @@ def verified(pairs: DataFrame, docs: DataFrame, where: DataFrame, k: int, num: i
     at = placed.select(F.col("node").alias("a"), "component", F.col("block").alias("i"))
     to = placed.select(F.col("node").alias("b"), F.col("block").alias("j"))
     buckets = max(1, -(-clusters.count() // BLOCK))
-    dealt = pairs.join(at, "a").join(to, "b").select("a", "b", F.expr(f"pmod(xxhash64(component, least(i, j), greatest(i, j)), {buckets}L)").alias("bucket"))
-    dealt = scratch.keep(dealt)
-    needed = dealt.select("bucket", F.col("a").alias("node")).unionByName(dealt.select("bucket", F.col("b").alias("node"))).distinct()
-    wanted = needed.join(where, "node").select(F.col("bucket").alias("part"), F.col(id_col).alias("wanted"))
-    texts = docs.select(F.col(id_col).alias("found"), F.col(text_col).alias("text")).join(wanted, F.col("found").eqNullSafe(F.col("wanted"))).select("part", "text")
+    dealt = scratch.keep(pairs.join(at, "a").join(to, "b").select("a", "b", F.expr(f"pmod(xxhash64(component, least(i, j), greatest(i, j)), {buckets}L)").alias("bucket")))
+    needed = dealt.select(F.col("bucket").alias("part"), F.col("a").alias("node")).unionByName(dealt.select("bucket", "b").toDF("part", "node")).distinct()
+    texts = _texts_for(needed, docs, where, id_col, text_col)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        of: dict[bytes, np.ndarray] = {}
-        texts = texts_of(right["text"])
-        for lo, hi in chunks(texts):
-            _, value, n = _sets(texts[lo:hi], k)
-            ends = np.cumsum(n)
-            for i, name in enumerate(_set_names(value, n)):
-                if name is not None and name not in of:
-                    of[name] = value[ends[i] - n[i] : ends[i]].copy()
-        good = []
-        for x, y in zip(left["a"].to_pylist(), left["b"].to_pylist(), strict=True):
-            s, t = of[x], of[y]
-            common = len(np.intersect1d(s, t, assume_unique=True))
-            good.append(den * common >= num * (len(s) + len(t) - common))
+        of = _named_sets(texts_of(right["text"]), k)
+        good = [_links(of[x], of[y], num, den) for x, y in zip(left["a"].to_pylist(), left["b"].to_pylist(), strict=True)]
         return left.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return dealt.groupBy("bucket").cogroup(texts.groupBy("part")).applyInArrow(run, "a binary, b binary")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's id, n_shingles, component_id and n_links.
+def link_counts(parts: DataFrame, nodes: DataFrame, docs: DataFrame, where: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """For each node of a component the rows that it links to in other nodes.
 
-    Rows link when den * intersection >= num * union of their shingle sets.
-    component_id is the smallest id reachable by links, n_links the number of other rows linked.
+    All links are within components.  A component is cut into blocks of nodes, and each two
+    blocks are compared in one task, which returns sums and never pairs.
     """
-    scratch = Scratch(docs.sparkSession, "jaccard")
+    sizes = parts.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = parts.join(sizes, "component").withColumn("own", F.expr("pmod(xxhash64(node), blocks)")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    buckets = max(1, -(-parts.count() // BLOCK))
+    placed = placed.select("node", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"))
+    placed = placed.withColumn("part", F.expr(f"pmod(xxhash64(component, i, j), {buckets}L)"))
+    known = placed.join(nodes.select("node", "n", *_SKETCH), "node").join(where.select("node", "copies"), "node")
+    texts = _texts_for(placed.select(F.col("part").alias("at"), "node").distinct(), docs, where, id_col, text_col)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        of = _named_sets(texts_of(right["text"]), k)
+        left = left.sort_by([("component", "ascending"), ("i", "ascending"), ("j", "ascending")])
+        node, second = left["node"].to_pylist(), left["second"].to_numpy()
+        n, copies = left["n"].to_numpy().astype(np.int64), left["copies"].to_numpy()
+        sketch = np.stack([left[c].to_numpy() for c in _SKETCH], axis=1).view(np.uint64)
+        task = list(zip(left["component"].to_pylist(), left["i"].to_pylist(), left["j"].to_pylist(), strict=True))
+        edges = [0, *(r for r in range(1, len(task)) if task[r] != task[r - 1]), len(task)]
+        sums = np.zeros(len(node), dtype=np.int64)
+        for a, z in zip(edges, edges[1:], strict=False):
+            rows = np.arange(a, z)
+            same = z > a and task[a][1] == task[a][2]
+            one, two = (rows, rows) if same else (rows[~second[a:z]], rows[second[a:z]])
+            for r in one:
+                to = two[two > r] if same else two
+                both = n[r] + n[to]
+                differing = np.bitwise_count(sketch[r] ^ sketch[to]).sum(axis=1, dtype=np.int64)
+                may = (den * np.minimum(n[r], n[to]) >= num * np.maximum(n[r], n[to])) & (differing <= both - 2 * -(-num * both // (num + den)))
+                for t in to[may]:
+                    if _links(of[node[r]], of[node[t]], num, den):
+                        sums[r] += copies[t]
+                        sums[t] += copies[r]
+        return pa.table({"node": left["node"], "others": pa.array(sums)})
+
+    found = known.groupBy("part").cogroup(texts.groupBy("at")).applyInArrow(run, "node binary, others long")
+    return found.groupBy("node").agg(F.sum("others").alias("others"))
+
+
+def linked_nodes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The rows with their nodes, the nodes, an id and the copies of each node, and its component if linked."""
     rows = scratch.keep(features(docs, k, num, den, id_col, text_col, heavy_shingles(docs, k, text_col)))
     full = rows.where("node is not null")
     nodes = scratch.keep(full.dropDuplicates(["node"]).drop(id_col))
-    where = full.groupBy("node").agg(F.min(id_col).alias(id_col), F.count("*").alias("copies"))
-    where = scratch.keep(where)
-    pairs = candidate_pairs(nodes, num, den, scratch)
-    links = scratch.keep(verified(pairs, docs, where, k, num, den, id_col, text_col, scratch))
-    parts = scratch.keep(connected_components(links, scratch))
+    where = scratch.keep(full.groupBy("node").agg(F.min(id_col).alias(id_col), F.count("*").alias("copies")))
+    found = Candidates(nodes, num, den, scratch)
+    how = (docs, where, k, num, den, id_col, text_col, scratch)
+    near = scratch.keep(verified(found.neighbours(), *how))
+    rest = verified(found.across(connected_components(near, scratch)), *how)
+    return rows, nodes, where, scratch.keep(connected_components(near.unionByName(rest), scratch))
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
+    """Each row's id, n_shingles, component_id and, if wanted, n_links.
+
+    Rows link when den * intersection >= num * union of their shingle sets.
+    component_id is the smallest id reachable by links, n_links the number of other rows linked.
+    """
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    rows, nodes, where, parts = linked_nodes(docs, k, num, den, id_col, text_col, scratch)
     smallest = parts.join(where, "node").groupBy("component").agg(F.min(id_col).alias("smallest"))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(where.select(F.col("node").alias("b"), F.col("copies")), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
-    known = where.join(parts, "node", "left").join(smallest, "component", "left").join(others, "node", "left")
-    known = known.select("node", F.coalesce("smallest", F.col(id_col)).alias("component_id"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    out = rows.select(id_col, "node", F.col("n").cast("long").alias("n_shingles")).join(known, "node", "left")
-    return out.select(id_col, "n_shingles", F.coalesce("component_id", F.col(id_col)).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    known = where.join(parts, "node", "left").join(smallest, "component", "left")
+    columns = ["node", F.coalesce("smallest", F.col(id_col)).alias("component_id")]
+    if count_links:
+        known = known.join(link_counts(parts, nodes, docs, where, k, num, den, id_col, text_col), "node", "left")
+        columns.append((F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    out = rows.select(id_col, "node", F.col("n").cast("long").alias("n_shingles")).join(known.select(*columns), "node", "left")
+    links = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
+    return out.select(id_col, "n_shingles", F.coalesce("component_id", F.col(id_col)).alias("component_id"), *links)
+
+
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without all but one row of each component: the one with the smallest id, then the first."""
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    rows = scratch.keep(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = jaccard_components(rows, k, num, den, "__row", text_col, count_links=False)
+    ids = rows.select("__row", F.col(f"`{id_col}`").alias("__id"))
+    best = found.join(ids, "__row").groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__row")).alias("best"))
+    return rows.join(best.select("best.__row"), "__row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
