@@ -30,11 +30,17 @@ class Scratch:
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
         atexit.register(self.drop)
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Write df and return the table read back with the same schema."""
+    def keep(self, df: DataFrame, release: bool = False) -> DataFrame:
+        """Write df and return the table read back with the same schema.
+
+        release: let Spark's cleaner delete the shuffle files that only this write needed,
+        which it does when the driver's objects for them are collected.
+        """
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        if release:
+            self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: int) -> None:

@@ -292,8 +292,8 @@ def repeated_spans(rows: DataFrame, scratch: Scratch, length: int = LENGTH, slic
     """Per rid the lists of first and one past the last byte of what repeats; rows: rid, text."""
     seen = _anchored(rows, length).withColumn("times", F.size("lo").cast("long"))
     met = seen.groupBy("anchor").agg(F.sum("times").alias("total")).where("total > 1").select("anchor")
-    kept = scratch.keep(seen.join(met, "anchor"))
-    distinct = scratch.keep(kept.groupBy("anchor", "segment").agg(F.sum("times").alias("times"), F.first("windows").alias("windows"), F.min(F.struct("rid", F.col("lo")[0].alias("lo"))).alias("at")))
+    kept = scratch.keep(seen.join(met, "anchor"), release=True)
+    distinct = scratch.keep(kept.groupBy("anchor", "segment").agg(F.sum("times").alias("times"), F.first("windows").alias("windows"), F.min(F.struct("rid", F.col("lo")[0].alias("lo"))).alias("at")), release=True)
     mixed = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.col("windows") + (length - 1)).alias("bytes")).where("kinds > 1")
     total = mixed.agg(F.sum(F.col("bytes") * F.ceil(F.col("kinds") / slice_size))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
@@ -306,7 +306,7 @@ def repeated_spans(rows: DataFrame, scratch: Scratch, length: int = LENGTH, slic
     found = parts.groupBy("shard").applyInArrow(lambda t: repeated_windows(t, length), "anchor long, segment long, a int, z int")
     whole = distinct.where("times > 1").select("anchor", "segment", F.lit(0).alias("a"), F.col("windows").alias("z"))
     single = distinct.where("times = 1").select("anchor", "segment")
-    runs = whole.unionByName(found.join(single, ["anchor", "segment"]))
+    runs = scratch.keep(whole.unionByName(found.join(single, ["anchor", "segment"])), release=True)
     spans = kept.join(runs, ["anchor", "segment"]).select("rid", F.explode("lo").alias("lo"), "a", "z")
     spans = spans.groupBy("rid").agg(F.collect_list(F.struct((F.col("lo") + F.col("a")).alias("start"), (F.col("lo") + F.col("z") + (length - 1)).alias("end"))).alias("spans"))
     return spans.select("rid", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
