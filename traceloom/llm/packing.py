@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,20 +30,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.textcore import mix
+from traceloom.llm.textcore import chunks, mix
 
 CAPACITY = 1024
 END_ID = 0
 #: Documents in a group, on average.
 GROUP_DOCS = 4096
 #: Entries in a worker's cache of tokenised units, after which it starts anew.
-CACHE_UNITS = 600_000
+CACHE_UNITS = 1_500_000
 #: Characters tokenised at once.
 SPAN = 1 << 20
 
 #: Whitespace and invisible characters on whose kind regular-expression libraries differ.
 _ODD = re.compile(r"[\t\r\f\v\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]").search
 _UNITS = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
+_DOUBLE = ("  ", "\n\n", " \n", "\n ")
 _TAIL = re.compile(r"([ \n]*[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)").fullmatch
 
 
@@ -50,8 +53,8 @@ class UnitTokenizer:
 
     The pre-tokeniser never joins a character to a space or line feed that follows it,
     so a text may be cut before any such run.  The units between cuts repeat a lot and
-    are kept with their ids.  A span that holds whitespace of another kind goes to the
-    tokeniser uncut.
+    are kept with their ids; a word and the marks after it are units of their own.  A span
+    that holds whitespace of another kind goes to the tokeniser uncut.
     """
 
     def __init__(self, path: str):
@@ -62,48 +65,70 @@ class UnitTokenizer:
         self.known: dict[str, bytes] = {}
 
     def _learn(self, units: set[str]) -> None:
-        known = self.known
-        if len(known) > CACHE_UNITS:
-            known.clear()
-        tails = {}
-        todo = set()
+        known, joined, todo = self.known, [], set()
         for u in units:
-            if m := _TAIL(u):
-                tails[u] = m.groups()
-                todo.update(p for p in m.groups() if p not in known)
+            parts = ["\n", u[1:]] if u[0] == "\n" and u[1:2] not in ("", " ", "\n") else [u]
+            if m := _TAIL(parts[-1]):
+                parts[-1:] = m.groups()
+            if len(parts) > 1:
+                joined.append((u, parts))
+                todo.update(p for p in parts if p not in known)
             else:
                 todo.add(u)
         listed = list(todo)
         for at in range(0, len(listed), 4096):
             part = listed[at : at + 4096]
             for u, e in zip(part, self.inner.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[u] = np.array(e.ids, dtype="<u4").tobytes()
-        for u, (head, tail) in tails.items():
-            known[u] = known[head] + known[tail]
-
-    def _span(self, text: str) -> bytes:
-        if _ODD(text):
-            return np.array(self.inner.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        units = _UNITS(text)
-        try:
-            return b"".join(map(self.known.__getitem__, units))
-        except KeyError:
-            while missing := {u for u in units if u not in self.known}:  # twice where the cache starts anew
-                self._learn(missing)
-            return b"".join(map(self.known.__getitem__, units))
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids of the text."""
-        if len(text) <= SPAN:
-            return self._span(text)
-        out, at = [], 0
+                known[u] = _bytes(e.ids)
+        for u, parts in joined:
+            known[u] = b"".join([known[p] for p in parts])
+
+    def _cut(self, text: str) -> Iterator[str]:
+        """Spans of a long text, cut after a letter or digit and before a space or line feed."""
+        at = 0
         while at < len(text):
             to = at + SPAN
             while to < len(text) and not (text[to] in " \n" and text[to - 1].isalnum()):
                 to += 1
-            out.append(self._span(text[at:to]))
+            yield text[at:to]
             at = to
-        return b"".join(out)
+
+    def _units(self, text: str) -> list[str]:
+        if any(two in text for two in _DOUBLE):
+            return _UNITS(text)
+        # single spaces and line feeds only: each unit is what follows a space, with the space
+        units = text.replace("\n", " \n").replace(" ", "\0 ").split("\0") if "\0" not in text else _UNITS(text)
+        return [u[1:] if u[:2] == " \n" else u for u in units] if "\n" in text else units
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        if len(self.known) > CACHE_UNITS:
+            self.known = {}
+        get, out, again, missing = self.known.get, [], [], set()
+        for text in texts:
+            spans: list[list] = []
+            for span in self._cut(text) if len(text) > SPAN else (text,):
+                if _ODD(span):
+                    spans.append([_bytes(self.inner.encode(span, add_special_tokens=False).ids)])
+                    continue
+                units = self._units(span)
+                if units and units[0] == "":
+                    units = units[1:]
+                got = list(map(get, units))
+                if None in got:
+                    missing.update([u for u, ids in zip(units, got, strict=True) if ids is None])
+                    again.append((spans, len(spans), units))
+                spans.append(got)
+            out.append(spans)
+        if missing:
+            self._learn(missing)
+            for spans, k, units in again:
+                spans[k] = list(map(self.known.__getitem__, units))
+        return [b"".join([b"".join(x) for x in spans]) for spans in out]
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, dtype="<u4").tobytes()
 
 
 _tokenizers: dict[str, UnitTokenizer] = {}
@@ -166,13 +191,15 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
         task = TaskContext.get().partitionId() if TaskContext.get() else 0
         for b in batches:
             ids, cols = b.column(0), [[] for _ in range(5 + with_ids)]
-            for i, text in enumerate(b.column(1).to_pylist()):
-                stream = tok.encode(text or "") + end
-                n = len(stream) // 4
-                for s in range(0, n, capacity):
-                    part = stream[4 * s : 4 * (s + capacity)]
-                    for c, v in zip(cols, (i, s, len(part) // 4, zlib.crc32(part), n, part), strict=False):
-                        c.append(v)
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for lo, hi in chunks(texts):
+                for i, ids_of in enumerate(tok.encode_all(texts[lo:hi]), lo):
+                    stream = ids_of + end
+                    n = len(stream) // 4
+                    for s in range(0, n, capacity):
+                        part = stream[4 * s : 4 * (s + capacity)]
+                        for c, v in zip(cols, (i, s, len(part) // 4, zlib.crc32(part), n, part), strict=False):
+                            c.append(v)
             at = np.array(cols[0], dtype=np.int64)
             deal = mix((np.arange(made, made + len(at)).astype(np.uint64) << np.uint64(24)) + np.uint64(task + 1)) >> np.uint64(1)
             made += len(at)
