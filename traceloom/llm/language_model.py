@@ -43,6 +43,8 @@ FEATURES = 4
 ROUNDS = 2
 BATCH = 4096
 RATE = 0.15
+#: Rows of a feature in a batch that are added one by one; longer runs are summed as a whole.
+SHORT = 6
 SMOOTH = 0.1
 FOLDS = 10
 #: Frequent tokens whose counts are broadcast.
@@ -97,25 +99,45 @@ class ClassModel:
         self.weights = np.zeros((1 << BITS, CLASSES), dtype=np.float32)
         self.bias = np.log((class_counts + 1.0) / (class_counts + 1.0).sum()).astype(np.float32)
 
-    def log_probabilities(self, features: np.ndarray) -> np.ndarray:
+    def _scores(self, features: np.ndarray) -> np.ndarray:
+        """Scores of the classes, the largest of each row taken off."""
         s = self.weights[features[0]]
         for f in features[1:]:
             s += self.weights[f]
         s += self.bias
         s -= s.max(axis=1, keepdims=True)
-        return s - np.log(np.exp(s).sum(axis=1, keepdims=True))
+        return s
+
+    def log_probabilities(self, features: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the probabilities of these classes."""
+        s = self._scores(features)
+        own = s[np.arange(len(cls)), cls].astype(np.float64)
+        return own - np.log(np.exp(s, out=s) @ np.ones(CLASSES, dtype=np.float32))
 
     def update(self, features: np.ndarray, cls: np.ndarray, squares: np.ndarray, rate: float = RATE) -> None:
         """One gradient step on a batch, with step sizes per feature from its squared gradients so far."""
-        g = np.exp(self.log_probabilities(features))
+        g = self._scores(features)
+        np.exp(g, out=g)
+        g /= (g @ np.ones(CLASSES, dtype=np.float32))[:, None]
         g[np.arange(len(cls)), cls] -= 1
         for f in features:
-            order = np.argsort(f, kind="stable")
-            at = np.flatnonzero(np.append(True, f[order][1:] != f[order][:-1]))
-            rows = f[order][at]
-            sums = np.add.reduceat(g[order], at)
-            squares[rows] += (sums * sums).mean(axis=1)
-            self.weights[rows] -= rate * sums / np.sqrt(squares[rows] + 1e-6)[:, None]
+            order = np.argsort(f.astype(np.uint16), kind="stable")  # by radix
+            by = f[order]
+            at = np.flatnonzero(np.append(True, by[1:] != by[:-1]))
+            rows, times = by[at], np.diff(np.append(at, len(by)))
+            sums = g.take(order[at], axis=0)
+            for k in range(1, SHORT):
+                few = np.flatnonzero((times > k) & (times <= SHORT))
+                sums[few] += g.take(order[at[few] + k], axis=0)
+            many = np.flatnonzero(times > SHORT)
+            if len(many):
+                n = times[many]
+                first = np.cumsum(n) - n
+                member = np.repeat(at[many] - first, n) + np.arange(n.sum())
+                sums[many] = np.add.reduceat(g.take(order[member], axis=0), first, axis=0)
+            squares[rows] += np.einsum("ij,ij->i", sums, sums) / CLASSES
+            sums *= (rate / np.sqrt(squares[rows] + 1e-6))[:, None]
+            self.weights[rows] -= sums
 
 
 def token_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -181,7 +203,11 @@ def trained(docs: DataFrame, class_counts: np.ndarray, id_col: str, text_col: st
 
         kind = "part int, seen long, weights binary"
         slices = (1 << BITS) // SLICE
-        made = docs.select(id_col, text_col).mapInArrow(run, kind).repartition(slices, "part").mapInArrow(average, kind).toArrow()
+        made = docs.select(id_col, text_col).mapInArrow(run, kind)
+        # two levels, so that no task reads what all others give back
+        groups = max(1, docs.rdd.getNumPartitions() // 32)
+        made = made.withColumn("grp", F.expr(f"pmod(spark_partition_id(), {groups})")).repartition(slices * groups, "part", "grp").drop("grp").mapInArrow(average, kind)
+        made = made.repartition(slices, "part").mapInArrow(average, kind).toArrow()
         model = ClassModel(class_counts)
         for part, w in zip(made["part"].to_pylist(), made["weights"].to_pylist(), strict=True):
             model.weights[part * SLICE : (part + 1) * SLICE] = np.frombuffer(w, dtype=np.float16).reshape(SLICE, CLASSES)
@@ -218,7 +244,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 score = np.empty(len(t.hash))
                 for a in range(0, len(t.hash), BATCH):
                     z = min(a + BATCH, len(t.hash))
-                    score[a:z] = model.log_probabilities(t.features(a, z))[np.arange(z - a), t.cls[a:z]]
+                    score[a:z] = model.log_probabilities(t.features(a, z), t.cls[a:z])
                 score /= np.log(10)
                 at = np.searchsorted(tokens, t.hash)
                 at[at == len(tokens)] = 0
