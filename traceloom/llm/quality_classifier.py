@@ -8,8 +8,8 @@ of the best grade follow for every row.
 The model is fitted on a bounded sample of labelled rows, ``FIT_ROWS``, taken by a
 hash of the id.  All rows are scored.
 
-Features of a text, each present or not: its words; the last three bytes of its words;
-its share of distinct words, its symbols' share and its length, in steps.
+Features of a text, each present or not: its words; the last three and the first bytes of
+its words; its share of distinct words, its symbols' share and its length, in steps.
 
 Defined results
 * null or empty text: only the features of the steps;
@@ -27,26 +27,33 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.textcore import Words, chunks, distinct_by_owner, mix, texts_of
+from traceloom.llm.textcore import Words, chunks, distinct_by_owner, mix, powers, running_hash, texts_of
 
 BITS = 18
 #: Labelled rows that the model is fitted on, at most.
 FIT_ROWS = 8192
-STEPS = 120
-RATE = 0.05
-PENALTY = 1e-5
+STEPS = 300
+RATE = 0.3
+#: Weight of the sum of absolute weights: most weights are zero, so rare words do not stand for their texts.
+PENALTY = 3e-4
+#: Labelled rows that a feature must be met in to get a weight.
+LEAST_ROWS = 3
+#: Lengths of words' beginnings, in bytes.
+HEADS = (5, 6, 7)
 GRADES = 3
 #: Probability of the best grade that a selected row has at least.
 SELECT = 0.5
 
 _U = np.uint64
+#: ASCII marks stand for spaces, so a word is the same with and without marks around it.
+_APART = bytes(c if c >= 128 or chr(c).isalnum() else 0x20 for c in range(256))
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>@{}")] = True
 
 
 def hashed_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Owner and index of each feature that a text has, ordered by owner."""
-    w = Words(texts)
+    w = Words([t.translate(_APART) for t in texts])
     h, owner = w.hashes(), w.owner()
     tail = np.zeros(len(h), dtype=np.uint64)
     for k in range(3):
@@ -55,14 +62,21 @@ def hashed_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     o, v = distinct_by_owner(owner, h)
     distinct = np.bincount(o, minlength=len(texts))
     n = np.maximum(w.count, 1)
-    run = np.zeros(len(w.buf) + 1, dtype=np.int64)
-    np.cumsum(_SYMBOL[w.buf], out=run[1:])
-    symbols = run[np.minimum(w.at[1:], len(w.buf))] - run[np.minimum(w.at[:-1], len(w.buf))]
+    raw = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
+    run = np.zeros(len(raw) + 1, dtype=np.int64)
+    np.cumsum(_SYMBOL[raw], out=run[1:])
+    symbols = run[np.minimum(w.at[1:], len(raw))] - run[np.minimum(w.at[:-1], len(raw))]
+    long_run, down = running_hash(w.buf), powers(len(w.buf))[1]
+    heads = []
+    for size in HEADS:
+        at = np.flatnonzero(w.end - w.start > size)
+        begin = w.start[at]
+        heads.append(distinct_by_owner(owner[at], mix((long_run[begin + size] - long_run[begin]) * down[begin] + _U(size))))
     steps = [10 * distinct // n, np.minimum(20 * symbols // n, 40), np.log2(w.count + 1).astype(np.int64)]
     docs = np.arange(len(texts))
     t, u = distinct_by_owner(owner, mix(tail + _U(0x5EED)))
-    owners = np.concatenate([o, t, *(docs for _ in steps)])
-    values = np.concatenate([v, u, *(mix(s.astype(np.uint64) + _U(1000 * (k + 1))) for k, s in enumerate(steps))])
+    owners = np.concatenate([o, t, *(a for a, _ in heads), *(docs for _ in steps)])
+    values = np.concatenate([v, u, *(b for _, b in heads), *(mix(s.astype(np.uint64) + _U(1000 * (k + 1))) for k, s in enumerate(steps))])
     order = np.argsort(owners, kind="stable")
     return owners[order], (values[order] >> _U(64 - BITS)).astype(np.int64)
 
@@ -76,7 +90,6 @@ class CumulativeLink:
 
     def __init__(self, grades: int = GRADES, bits: int = BITS):
         self.grades, self.weights = grades, np.zeros(1 << bits)
-        self.first, self.gaps = -np.log(grades - 1.0), np.zeros(grades - 2)
         even = np.log(np.arange(1, grades) / np.arange(grades - 1, 0, -1))
         self.first, self.gaps = even[0], np.log(np.diff(even))
 
@@ -93,30 +106,28 @@ class CumulativeLink:
         return np.diff(np.column_stack([np.zeros(len(score)), below, np.ones(len(score))]), axis=1)
 
     def fit(self, owner: np.ndarray, index: np.ndarray, grade: np.ndarray, steps: int = STEPS, rate: float = RATE, penalty: float = PENALTY) -> CumulativeLink:
-        """Adam on the mean log likelihood; rows of a rare grade weigh as much as the others."""
-        rows = len(grade)
-        times = np.bincount(grade, minlength=self.grades)
-        weight = (rows / np.maximum(times, 1) / max(1, (times > 0).sum()))[grade] / rows
-        params = np.concatenate([self.weights, [self.first], self.gaps])
-        m, v = np.zeros_like(params), np.zeros_like(params)
-        size = len(self.weights)
-        for step in range(1, steps + 1):
+        """Proximal gradient steps on the mean log likelihood, sized per weight by its gradients so far."""
+        rows, size, last = len(grade), len(self.weights), self.grades - 1
+        met = np.bincount(index, minlength=size) >= LEAST_ROWS
+        owner, index = owner[met[index]], index[met[index]]
+        squares, edge_squares = np.zeros(size), np.full(last, 1e-8)
+        for _ in range(steps):
             edges = np.concatenate([[-np.inf], self.thresholds, [np.inf]])
             s = self.score(owner, index, rows)
-            hi, lo = _sigmoid(edges[grade + 1] - s), _sigmoid(edges[grade] - s)
-            hi, lo = np.where(grade == self.grades - 1, 1.0, hi), np.where(grade == 0, 0.0, lo)
-            p = np.maximum(hi - lo, 1e-12)
-            d_hi, d_lo = weight * hi * (1 - hi) / p, weight * lo * (1 - lo) / p
-            d_score = d_hi - d_lo  # of the negative log likelihood
-            g = np.zeros_like(params)
-            g[:size] = np.bincount(index, weights=d_score[owner], minlength=size) + penalty * self.weights
+            hi = np.where(grade == last, 1.0, _sigmoid(edges[grade + 1] - s))
+            lo = np.where(grade == 0, 0.0, _sigmoid(edges[grade] - s))
+            p = np.maximum(hi - lo, 1e-12) * rows
+            d_hi, d_lo = hi * (1 - hi) / p, lo * (1 - lo) / p
+            g = np.bincount(index, weights=(d_hi - d_lo)[owner], minlength=size)
+            squares += g * g
+            step = rate / (np.sqrt(squares) + 1e-8)
+            w = self.weights - step * g
+            self.weights = np.where(met, np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0), 0.0)
             d_edge = np.bincount(grade, weights=-d_hi, minlength=self.grades)[:-1] + np.bincount(grade, weights=d_lo, minlength=self.grades)[1:]
-            g[size] = d_edge.sum()
-            for k in range(len(self.gaps)):
-                g[size + 1 + k] = d_edge[k + 1 :].sum() * np.exp(self.gaps[k])
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            params -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-            self.weights, self.first, self.gaps = params[:size], params[size], params[size + 1 :]
+            d = np.array([d_edge.sum(), *(d_edge[k + 1 :].sum() * np.exp(gap) for k, gap in enumerate(self.gaps))])
+            edge_squares += d * d
+            d *= rate / np.sqrt(edge_squares)
+            self.first, self.gaps = self.first - d[0], self.gaps - d[1:]
         return self
 
 
