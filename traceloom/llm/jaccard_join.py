@@ -15,7 +15,7 @@
 4. First only neighbours in a shingle's rows are compared, a number that does not grow
    with the square of a group.  Then all pairs that may link and are not connected yet.
 5. Groups are expanded into member pairs, and each pair is verified on its whole texts.
-   Pairs are dealt by connected groups of candidates, large ones cut into blocks, so a
+   Pairs near each other are dealt together, large groups of them cut into blocks, so a
    text is sent once for each block pair that needs it and no task gets a whole group.
 6. Links are counted within components, block against block, without making pairs rows.
 
@@ -237,13 +237,15 @@ def _links(s: np.ndarray, t: np.ndarray, num: int, den: int) -> bool:
 def verified(pairs: DataFrame, docs: DataFrame, where: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """The pairs whose sets, made from whole texts, reach the similarity."""
     pairs = scratch.keep(pairs)
-    clusters = scratch.keep(connected_components(pairs, scratch))
-    blocks = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    placed = clusters.join(blocks, "component").select("node", "component", F.expr("pmod(xxhash64(node), blocks)").alias("block"))
-    at = placed.select(F.col("node").alias("a"), "component", F.col("block").alias("i"))
-    to = placed.select(F.col("node").alias("b"), F.col("block").alias("j"))
-    buckets = max(1, -(-clusters.count() // BLOCK))
-    dealt = scratch.keep(pairs.join(at, "a").join(to, "b").select("a", "b", F.expr(f"pmod(xxhash64(component, least(i, j), greatest(i, j)), {buckets}L)").alias("bucket")))
+    # pairs that are near each other go together: by the smaller of the smallest neighbours of their nodes
+    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = scratch.keep(ends.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("near")))
+    placed = pairs.join(near.select(F.col("node").alias("a"), F.col("near").alias("x")), "a").join(near.select(F.col("node").alias("b"), F.col("near").alias("y")), "b")
+    placed = scratch.keep(placed.select("a", "b", F.least("x", "y").alias("near")))
+    blocks = placed.groupBy("near").agg(F.ceil(F.count("*") / (4 * BLOCK)).alias("blocks"))
+    placed = placed.join(blocks, "near").withColumn("i", F.expr("pmod(xxhash64(a), blocks)")).withColumn("j", F.expr("pmod(xxhash64(b), blocks)"))
+    buckets = max(1, -(-near.count() // BLOCK))
+    dealt = scratch.keep(placed.select("a", "b", F.expr(f"pmod(xxhash64(near, least(i, j), greatest(i, j)), {buckets}L)").alias("bucket")))
     needed = dealt.select(F.col("bucket").alias("part"), F.col("a").alias("node")).unionByName(dealt.select("bucket", "b").toDF("part", "node")).distinct()
     texts = _texts_for(needed, docs, where, id_col, text_col)
 
