@@ -164,25 +164,26 @@ class Candidates:
         groups = nodes.groupBy("grp").agg(F.count("*").alias("members"), F.min_by(row, "node").alias("r"))
         one = lambda c: F.when(F.col("members") == 1, F.col(f"r.{c}")).alias(c)
         groups = scratch.keep(groups.select("grp", "members", F.col("r.n").alias("n"), F.col("r.shared").alias("shared"), F.col("r.prefix").alias("prefix"), *map(one, _SKETCH)))
-        tokens = groups.select("grp", "shared", F.explode("prefix").alias("token"))
+        follows = F.transform("prefix", lambda t, i: F.struct(t.alias("token"), F.get("prefix", i + 1).alias("next"), F.get("prefix", i + 2).alias("after")))
+        tokens = groups.select("grp", "shared", "n", F.inline(follows))
         met = tokens.groupBy("token").agg(F.count("*").alias("times")).where("times > 1").select("token")
         meeting = scratch.keep(tokens.join(met, "token"))
         enough = meeting.groupBy("grp").agg(F.count("*").alias("hits"), F.first("shared").alias("shared")).where("hits >= shared").select("grp")
-        slim = groups.join(enough, "grp").select("grp", "n", "shared", *_SKETCH)
-        self.rows = scratch.keep(meeting.select("grp", "token").join(slim, "grp"))
+        self.rows = scratch.keep(meeting.join(enough, "grp").drop("shared"), release=True)
+        self.slim = scratch.keep(groups.join(enough, "grp").select("grp", "n", "shared", *_SKETCH))
         several = groups.where("members > 1").select("grp")
         self.members = scratch.keep(nodes.select("grp", "node", "n", *_SKETCH).join(enough.unionByName(several).distinct(), "grp"))
 
     def neighbours(self) -> DataFrame:
-        """Pairs of neighbours: in each shingle's rows, ordered by a part of the sketch, and in each group.
+        """Pairs of neighbours: in each shingle's rows, ordered by the shingles that follow in the prefix, and in each group.
 
         As many as there are rows, whatever the size of a group; they join most of what is linked.
         """
-        words = F.element_at(F.array(*_SKETCH), F.expr(f"cast(pmod(token, {SKETCH_WORDS}) as int) + 1"))
-        w = Window.partitionBy("token").orderBy(words, "n", "grp")
-        row = F.struct("grp", "n", *_SKETCH)
-        x = self.rows.select(row.alias("x"), F.lag(row).over(w).alias("y")).where("y is not null").where(_may_link("x", "y", self.num, self.den))
-        pairs = x.select(F.least("x.grp", "y.grp").alias("ga"), F.greatest("x.grp", "y.grp").alias("gb")).distinct()
+        w = Window.partitionBy("token").orderBy("next", "after", "n", "grp")
+        pairs = self.rows.select("grp", F.lag("grp").over(w).alias("before")).where("before is not null")
+        pairs = pairs.select(F.least("grp", "before").alias("ga"), F.greatest("grp", "before").alias("gb")).distinct()
+        x, y = self.slim.alias("x"), self.slim.alias("y")
+        pairs = pairs.join(x, F.col("ga") == F.col("x.grp")).join(y, (F.col("gb") == F.col("y.grp")) & _may_link("x", "y", self.num, self.den)).select("ga", "gb")
         first = self.members.groupBy("grp").agg(F.min("node").alias("node"))
         across = pairs.join(first.select(F.col("grp").alias("ga"), F.col("node").alias("a")), "ga").join(first.select(F.col("grp").alias("gb"), F.col("node").alias("b")), "gb").select("a", "b")
         m = F.struct("node", "n", *_SKETCH)
@@ -196,9 +197,9 @@ class Candidates:
         # a group stands for its members' component; a group with several is compared with all
         of = members.groupBy("grp").agg(F.min("component").alias("component"), F.max("component").alias("other"))
         of = self.scratch.keep(of.select("grp", F.when(F.col("component") == F.col("other"), F.col("component")).alias("component")))
-        rows = self.rows.join(of, "grp")
+        rows = self.rows.select("grp", "token").join(of, "grp")
         mixed = rows.groupBy("token").agg(F.min("component").alias("one"), F.max("component").alias("other"), F.count("*").alias("all"), F.count("component").alias("sure")).where("one != other or sure < all").select("token")
-        rows = rows.join(mixed, "token")
+        rows = self.scratch.keep(rows.join(mixed, "token").join(self.slim, "grp"))
         x, y = rows.alias("x"), rows.alias("y")
         apart = F.coalesce(F.col("x.component") != F.col("y.component"), F.lit(True))
         pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.grp") < F.col("y.grp")) & apart & _may_link("x", "y", self.num, self.den))
