@@ -143,19 +143,20 @@ class ClassModel:
 def token_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Training tokens: hash, class, count."""
 
-    def flush(held: list[Tokens]) -> pa.RecordBatch:
-        h, cls = np.concatenate([t.hash for t in held]), np.concatenate([t.cls for t in held])
+    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        h, cls = (np.concatenate(x) for x in zip(*held, strict=True))
         u, at, n = np.unique(h, return_index=True, return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(cls[at].astype(np.int32)), pa.array(n.astype(np.int64))], ["token", "cls", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[Tokens] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for b in batches:
             learn = fold_of(b.column(0).to_pylist()) != 0
             texts = texts_of(b.column(1).filter(pa.array(learn)))
             for lo, hi in chunks(texts):
-                held.append(Tokens(texts[lo:hi]))
-                if sum(len(t.hash) for t in held) >= COUNT_TOKENS:
+                t = Tokens(texts[lo:hi])
+                held.append((t.hash, t.cls.astype(np.int8)))
+                if sum(len(h) for h, _ in held) >= COUNT_TOKENS:
                     yield flush(held)
                     held = []
         if held:
