@@ -278,11 +278,13 @@ def repeated_windows(table: pa.Table, length: int = LENGTH) -> pa.Table:
     if len(plain):
         array = SuffixArray([parts[r] for r in plain], windows[plain], length)
         add(plain, array, array.repeated())
-    sides = [np.flatnonzero((i != j) & (second == s)) for s in (False, True)]
-    if all(map(len, sides)):
-        one, two = (SuffixArray([parts[r] for r in side], windows[side], length) for side in sides)
-        add(sides[0], one, one.met_in(two))
-        add(sides[1], two, two.met_in(one))
+    # each two slices by themselves: a segment is the second in one merge and the first in another
+    for x, y in sorted(set(zip(i[i != j].tolist(), j[i != j].tolist(), strict=True))):
+        sides = [np.flatnonzero((i == x) & (j == y) & (second == s)) for s in (False, True)]
+        if all(map(len, sides)):
+            one, two = (SuffixArray([parts[r] for r in side], windows[side], length) for side in sides)
+            add(sides[0], one, one.met_in(two))
+            add(sides[1], two, two.met_in(one))
     rows, a, z = (np.concatenate([f[k] for f in found]).astype(np.int64) if found else np.zeros(0, dtype=np.int64) for k in range(3))
     picked = table.select(["anchor", "segment"]).take(pa.array(rows))
     return picked.append_column("a", pa.array(a.astype(np.int32))).append_column("z", pa.array(z.astype(np.int32)))
