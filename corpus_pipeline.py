@@ -38,8 +38,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled to the raked weights of source, language and topic."""
-    return sample_documents(docs)
+    """Documents sampled to the raked weights of source, language and topic: as many as there are without repeats."""
+    return sample_documents(docs, budget=None)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

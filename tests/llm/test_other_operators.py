@@ -22,6 +22,24 @@ def test_mixing_holds_the_margins(spark):
     assert kept.columns == docs.columns and kept.count() == int(out.sampled.sum())
 
 
+def test_sampled_rows_have_the_raked_margins(spark):
+    import corpus_pipeline as C
+    from traceloom.llm.mixing import POWERS, sample_documents, tokens_of, topic_of
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    tokens = lambda df: df.select("lang", topic_of(F.col("text")).alias("topic"), tokens_of(F.col("text")).alias("tokens")).toPandas()
+    have = tokens(docs)
+    whole, once = tokens(sample_documents(docs, repeats=True)), C.mixing(spark, docs, DATA)
+    assert once.count() == once.select("doc_id").distinct().count()
+    for got in (whole, tokens(once)):
+        for m in ("lang", "topic"):
+            goal = have.groupby(m).tokens.sum() ** POWERS[m]
+            sums = got.groupby(m).tokens.sum()
+            big = goal / goal.sum() > 0.1
+            assert np.allclose((sums / sums.sum())[big], (goal / goal.sum())[big], rtol=0.05), (m, sums / sums.sum(), goal / goal.sum())
+    assert abs(whole.tokens.sum() / have.tokens.sum() - 1) < 0.02
+
+
 def test_mixing_edge_cases(spark):
     from traceloom.llm.mixing import mixing_weights
 

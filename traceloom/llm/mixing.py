@@ -2,9 +2,12 @@
 
 Token weights are summed into cells of source, language and topic before anything is
 shuffled.  Raking multiplies the cells' weights by target over current sum, margin by
-margin, until the margins hold.  A document's expected epochs are its cell's raked
-weight over the cell's tokens, and it is sampled with that probability, at most 1, by
-a hash of its id.
+margin, until the margins hold.  A document's weight, its expected epochs, is its cell's
+raked weight over the cell's tokens.  A hash of its id draws its copies: the whole part
+of the weight, and one more with the rest as probability.  ``sampled`` tells whether
+there is a copy at all.  Only copies have the raked margins: one row for each sampled
+document clips weights above 1.  Where rows may not repeat, budget None takes the largest
+budget that leaves no weight above 1, so that weights are probabilities.
 
 Targets are tempered shares of the margins: tokens to a power, which lifts small
 values and lowers large ones.
@@ -29,7 +32,7 @@ POWERS = {"source": 0.7, "lang": 0.8, "topic": 1.0}
 ROUNDS = 8
 #: Rounds between two written tables.
 CUT = 4
-#: Tokens to sample, as a share of all tokens.
+#: Tokens to sample, as a share of all tokens; None for the largest share without a weight above 1.
 BUDGET = 1.0
 #: Characters of a token, on average.
 CHARS_PER_TOKEN = 4
@@ -66,19 +69,22 @@ def raked_cells(cells: DataFrame, scratch: Scratch, powers: dict[str, float] = P
     return out.select(*_MARGINS, "tokens", "share")
 
 
-def weighted(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, budget: float = BUDGET, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with __source, __lang, __topic, __tokens, __weight and __sampled."""
+def weighted(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, budget: float | None = BUDGET, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with __source, __lang, __topic, __tokens, __weight, __sampled and __copies."""
     scratch = Scratch(docs.sparkSession, "mixing")
     text = F.col(f"`{text_col}`")
     empty = lambda c: F.coalesce(F.col(f"`{c}`"), F.lit(""))
     rows = docs.withColumns({"__source": empty("source"), "__lang": empty("lang"), "__topic": topic_of(text), "__tokens": tokens_of(text)})
     cells = rows.groupBy(*(F.col(f"__{m}").alias(m) for m in _MARGINS)).agg(F.sum("__tokens").alias("tokens"))
     cells = raked_cells(cells, scratch, powers, rounds)
-    total = cells.agg(F.sum("tokens").alias("all"))
-    rates = scratch.keep(cells.crossJoin(F.broadcast(total)).select(*(F.col(m).alias(f"__{m}") for m in _MARGINS), (F.col("share") * F.col("all") * F.lit(budget) / F.col("tokens")).alias("__weight")))
+    total = cells.agg(F.sum("tokens").alias("all"), F.max(F.col("share") / F.col("tokens")).alias("top"))
+    weight = F.col("share") / F.col("tokens") / F.col("top") if budget is None else F.col("share") * F.col("all") * F.lit(budget) / F.col("tokens")
+    rates = scratch.keep(cells.crossJoin(F.broadcast(total)).select(*(F.col(m).alias(f"__{m}") for m in _MARGINS), weight.alias("__weight")))
     out = rows.join(rates, [f"__{m}" for m in _MARGINS], "left").withColumn("__weight", F.coalesce("__weight", F.lit(0.0)))
     digest = F.md5(F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
-    return out.withColumn("__sampled", F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(2.0**32) < F.col("__weight"))
+    draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+    whole = F.floor("__weight")
+    return out.withColumns({"__sampled": draw < F.col("__weight"), "__copies": (whole + (draw < F.col("__weight") - whole).cast("long")).cast("int")})
 
 
 def mixing_weights(docs: DataFrame, **options) -> DataFrame:
@@ -88,9 +94,12 @@ def mixing_weights(docs: DataFrame, **options) -> DataFrame:
     return out.select(F.col(f"`{id_col}`").alias(id_col), F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"), F.round("__weight", 6).alias("weight"), F.col("__sampled").alias("sampled"))
 
 
-def sample_documents(docs: DataFrame, **options) -> DataFrame:
-    """The sampled rows, with the columns of docs."""
-    return weighted(docs, **options).where("__sampled").select(*(F.col(f"`{c}`") for c in docs.columns))
+def sample_documents(docs: DataFrame, repeats: bool = False, **options) -> DataFrame:
+    """The sampled rows, with the columns of docs: once each, or with repeats as often as drawn."""
+    out = weighted(docs, **options).where("__sampled")
+    if repeats:
+        out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def oracle(source: str = "documents", powers: dict[str, float] = POWERS, rounds: int = ROUNDS, budget: float = BUDGET, seed: int = SEED) -> str:
