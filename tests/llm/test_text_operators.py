@@ -251,6 +251,30 @@ def test_line_dedup(docs):
     assert dedup_lines(empty(docs)).count() == 0
 
 
+def longest_common(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+@pytest.mark.parametrize("bits", [1 << 28, 6])
+def test_gaps_without_unique_lines_are_aligned(monkeypatch, bits):
+    from traceloom.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "MAX_BITS", bits)
+    assert line_dedup.patience_blocks([9, 1, 8, 1, 7], [5, 1, 6]) == [(1, 1, 1)]  # twice in the later document
+    assert line_dedup.patience_blocks([5, 1, 6], [9, 1, 8, 1, 7]) == [(1, 1, 1)]  # twice in its partner
+    rng = random.Random(9)
+    for _ in range(300):
+        a, b = ([rng.randrange(5) for _ in range(rng.randint(0, 7))] * 2 for _ in range(2))  # nothing is unique
+        a, b = [10, *a, 11], [12, *b, 13]
+        blocks = line_dedup.patience_blocks(a, b)
+        assert sum(n for _, _, n in blocks) == longest_common(a, b)
+        assert all(a[i : i + n] == b[j : j + n] for i, j, n in blocks)
+
+
 # --- quality rules -------------------------------------------------------------------
 
 

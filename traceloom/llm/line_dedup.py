@@ -8,7 +8,8 @@ lines.  The rarest shared line of a pair comes first among its anchors.
 
 A pair is aligned by patience diff: lines met once in either document, in the longest
 common order, are anchors; the gaps between them are aligned in the same way, and
-blocks grow from the anchors over equal lines.  Aligned blocks with enough text are
+blocks grow from the anchors over equal lines.  A gap without such lines is aligned by
+its longest common subsequence.  Aligned blocks with enough text are
 deleted from the later document.  Partners are always taken as they came, so the result
 does not depend on the order of work.  Only line hashes and lengths travel.
 
@@ -38,6 +39,8 @@ from traceloom.llm.scratch import Scratch
 MIN_LINE = 20
 #: Characters of an aligned block that is deleted.
 MIN_BLOCK = 20
+#: Bits held while a gap is aligned; larger gaps are halved.
+MAX_BITS = 1 << 28
 
 
 def unique_anchors(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
@@ -63,6 +66,59 @@ def unique_anchors(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: in
     return out[::-1]
 
 
+def common_order(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
+    """Positions of a longest common subsequence of both spans, by rows of bits."""
+    in_a, in_b = set(a[a0:a1]), set(b[b0:b1])
+    rows = [i for i in range(a0, a1) if a[i] in in_b]
+    cols = [j for j in range(b0, b1) if b[j] in in_a]
+    out: list[tuple[int, int]] = []
+    work = [(rows, cols)]
+    while work:
+        rows, cols = work.pop()
+        if not rows or not cols:
+            continue
+        if len(rows) > 1 and len(rows) * len(cols) > MAX_BITS:  # halve the rows where both parts have most in common
+            half = len(rows) // 2
+            left = common_lengths(a, b, rows[:half], cols)
+            right = common_lengths(a, b, rows[half:][::-1], cols[::-1])[::-1]
+            cut = int(np.argmax(left + right))
+            work += [(rows[:half], cols[:cut]), (rows[half:], cols[cut:])]
+            continue
+        steps = list(_bit_rows(a, b, rows, cols))
+        r, c = len(rows), len(cols)
+        while r and c:
+            if steps[r - 1] >> (c - 1) & 1:
+                c -= 1
+                continue
+            r -= 1
+            if not r or steps[r - 1] >> (c - 1) & 1:
+                c -= 1
+                out.append((rows[r], cols[c]))
+    return sorted(out)
+
+
+def _bit_rows(a: list[int], b: list[int], rows: list[int], cols: list[int]) -> Iterator[int]:
+    """After each row, bits of the columns at which the longest common subsequence does not grow."""
+    at: dict[int, int] = {}
+    for k, j in enumerate(cols):
+        at[b[j]] = at.get(b[j], 0) | 1 << k
+    full = (1 << len(cols)) - 1
+    v = full
+    for i in rows:
+        u = v & at.get(a[i], 0)
+        v = ((v + u) | (v - u)) & full
+        yield v
+
+
+def common_lengths(a: list[int], b: list[int], rows: list[int], cols: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequence of the rows and each prefix of the columns."""
+    v = 0
+    for v in _bit_rows(a, b, rows, cols):
+        pass
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(-(-len(cols) // 8), "little"), dtype=np.uint8), bitorder="little")[: len(cols)]
+    return np.append(0, np.cumsum(1 - bits.astype(np.int64)))
+
+
 def patience_blocks(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     """Aligned blocks (start in a, start in b, lines), in order."""
     matched: list[tuple[int, int]] = []
@@ -79,6 +135,7 @@ def patience_blocks(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
             continue
         anchors = unique_anchors(a, b, a0, a1, b0, b1)
         if not anchors:
+            matched += common_order(a, b, a0, a1, b0, b1)
             continue
         for i, j in [*anchors, (a1, b1)]:
             while i > a0 and j > b0 and i < a1 and a[i - 1] == b[j - 1]:  # grow back from the anchor
