@@ -275,6 +275,19 @@ def test_gaps_without_unique_lines_are_aligned(monkeypatch, bits):
         assert all(a[i : i + n] == b[j : j + n] for i, j, n in blocks)
 
 
+def test_lines_left_by_the_first_holder_meet_the_next(spark):
+    from traceloom.llm.line_dedup import dedup_lines
+
+    x, y, z = ("first line of a passage", "another line of a passage", "a last line of the passage")
+    own = lambda k: f"only document {k} has this"
+    texts = [f"{y}\n{x}", f"{x}\n{y}", f"{x}\n{y}", f"{z}\n{own(3)}", f"{z}\n{own(4)}\n{z}", *[f"{z}\n{own(k)}" for k in range(5, 9)], f"{z}\n{own(9)}\n{z}\n{own(10)}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(docs).collect()}
+    assert got[2] == ""  # a copy of 1, though its lines' first holder has them the other way round
+    assert got[0] == texts[0] and got[3] == texts[3] and got[4].split("\n").count(z) == 1  # no earlier document has it twice
+    assert got[9] == f"{own(9)}\n{own(10)}"  # document 4 has it twice
+
+
 # --- quality rules -------------------------------------------------------------------
 
 

@@ -4,7 +4,9 @@ Documents are ordered by id.  For each line of some length the first holder, the
 earliest document with it, is found by an aggregation; every later document with that
 line is paired with the first holder.  A line that n documents share thus gives n - 1
 pairs, so common lines need no cap, and a document has at most as many partners as
-lines.  The rarest shared line of a pair comes first among its anchors.
+lines.  A line that its first holder leaves in place, out of order or in a further copy,
+meets its next earlier holders, twice as many in each round, until one aligns it or all
+have been tried.
 
 A pair is aligned by patience diff: lines met once in either document, in the longest
 common order, are anchors; the gaps between them are aligned in the same way, and
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.llm.scratch import Scratch
@@ -166,11 +168,7 @@ def shared_blocks(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch,
     lines = docs.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), _lines(text_col).alias("lines"))
     lines = lines.select("id", "mark", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("lines", lambda x: F.length(x)).alias("sizes"))
     lines = scratch.keep(lines.dropDuplicates(["id", "mark"]).select(F.struct(F.col("id").isNull().alias("last"), "id", "mark").alias("doc"), "hashes", "sizes"))
-    held = lines.select("doc", F.explode(F.arrays_zip("hashes", "sizes")).alias("l")).where(F.col("l.sizes") >= min_line).select("doc", F.col("l.hashes").alias("line"))
-    first = held.groupBy("line").agg(F.min("doc").alias("first"), F.count("*").alias("times")).where("times > 1")
-    pairs = held.join(first, "line").where("first < doc").groupBy("doc", "first").agg(F.min("times").alias("rarest"))
-    early = lines.select(F.col("doc").alias("first"), F.col("hashes").alias("other"))
-    both = pairs.join(lines, "doc").join(early, "first")
+    kind = lines.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -183,9 +181,30 @@ def shared_blocks(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch,
                 found.append(gone)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], ["doc", "gone"])
 
-    kind = lines.schema["doc"].dataType.simpleString()
-    gone = both.select("doc", "hashes", "sizes", "other").mapInArrow(run, f"doc {kind}, gone array<int>")
-    gone = gone.select("doc", F.explode("gone").alias("line")).groupBy("doc").agg(F.collect_set("line").alias("gone"))
+    def aligned(pairs: DataFrame) -> DataFrame:
+        """Numbers of the lines (doc, at) that these pairs (doc, early) align."""
+        early = lines.select(F.col("doc").alias("early"), F.col("hashes").alias("other"))
+        both = pairs.join(lines, "doc").join(early, "early")
+        return both.select("doc", "hashes", "sizes", "other").mapInArrow(run, f"doc {kind}, gone array<int>").select("doc", F.explode("gone").alias("at"))
+
+    placed = lines.select("doc", F.posexplode(F.arrays_zip("hashes", "sizes")).alias("at", "l")).where(F.col("l.sizes") >= min_line).select("doc", "at", F.col("l.hashes").alias("line"))
+    held = placed.select("doc", "line")
+    first = held.groupBy("line").agg(F.min("doc").alias("early"), F.count("*").alias("times")).where("times > 1").drop("times")
+    gone = scratch.keep(aligned(held.join(first, "line").where("early < doc").select("doc", "early").distinct()))
+    # what the first holders leave; holders are numbered only for lines among it
+    left = placed.join(first, "line").where("early < doc").select("doc", "at", "line").join(gone, ["doc", "at"], "left_anti")
+    left = scratch.keep(left)
+    ranked = held.join(left.select("line").distinct(), "line", "left_semi").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("line").orderBy("doc")) - 1)
+    ranked = scratch.keep(ranked)
+    left = left.join(ranked.withColumnRenamed("rank", "own"), ["doc", "line"])
+    low = 1
+    while not (left := scratch.keep(left.where(F.col("own") > low))).isEmpty():
+        tries = left.select("doc", "line", F.explode(F.sequence(F.lit(low), F.least(F.lit(2 * low), "own") - 1)).alias("rank"))
+        more = scratch.keep(aligned(tries.join(ranked.withColumnRenamed("doc", "early"), ["line", "rank"]).select("doc", "early").distinct()))
+        gone = gone.unionAll(more)
+        left = left.join(more, ["doc", "at"], "left_anti")
+        low *= 2
+    gone = gone.groupBy("doc").agg(F.collect_set("at").alias("gone"))
     return gone.select(F.col("doc.id").alias("id"), F.col("doc.mark").alias("mark"), "gone")
 
 
