@@ -288,6 +288,32 @@ def test_lines_left_by_the_first_holder_meet_the_next(spark):
     assert got[9] == f"{own(9)}\n{own(10)}"  # document 4 has it twice
 
 
+def test_blocks_of_short_lines_are_found(spark):
+    from traceloom.llm.line_dedup import dedup_lines, short_runs
+
+    verse = "roses are red\n\nviolets are blue\nand so"
+    texts = [f"a\n{verse}\nb", f"c\n{verse}\nd", "roses are red\ne", f"{verse}\n" + "f" * 30, "g\nroses are red\n\nviolets are blue\nh", "x\n" * 30 + "i", "j\n" + "x\n" * 30]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(docs).collect()}
+    assert got == {0: texts[0], 1: "c\nd", 2: texts[2], 3: "f" * 30, 4: "g\nh", 5: texts[5], 6: "j\n"}
+    rng = random.Random(12)
+    for _ in range(200):
+        docs_lines = [[rng.choice([0, 1, 3, 7, 12, 19, 20, 40]) for _ in range(rng.randint(1, 12))] for _ in range(3)]
+        sizes = np.array([x for d in docs_lines for x in d])
+        ends = np.repeat(np.cumsum([len(d) for d in docs_lines]), [len(d) for d in docs_lines])
+        at, n, key = short_runs(sizes.astype(np.uint64), sizes, ends, 20, 20)
+        want = {}
+        for a, z in enumerate(ends):
+            for e in range(a + 1, z + 1):
+                if sizes[a:e].sum() >= 20:
+                    if sizes[a] and sizes[a:e].max() < 20:
+                        want[a] = e - a
+                    break
+        assert dict(zip(at.tolist(), n.tolist())) == want
+        parts = [tuple(sizes[a : a + k]) for a, k in zip(at, n)]
+        assert len(set(zip(parts, key.tolist()))) == len(set(parts)) == len(set(key.tolist()))
+
+
 # --- quality rules -------------------------------------------------------------------
 
 

@@ -6,7 +6,8 @@ line is paired with the first holder.  A line that n documents share thus gives
 pairs, so common lines need no cap, and a document has at most as many partners as
 lines.  A line that its first holder leaves in place, out of order or in a further copy,
 meets its next earlier holders, twice as many in each round, until one aligns it or all
-have been tried.
+have been tried.  Runs of shorter lines count as a line: from each line on, as many as
+make a block that is deleted, so that every such block has a holder.
 
 A pair is aligned by patience diff: lines met once in either document, in the longest
 common order, are anchors; the gaps between them are aligned in the same way, and
@@ -36,14 +37,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.llm.scratch import Scratch
+from traceloom.llm.textcore import mix
 
-#: Characters of a line that can bring two documents together.
+#: Characters of a line that can bring two documents together by itself.
 MIN_LINE = 20
 #: Characters of an aligned block that is deleted.
 MIN_BLOCK = 20
 #: Bits held while a gap is aligned; larger gaps are halved.
 MAX_BITS = 1 << 28
 
+_U = np.uint64
+_STEP = 0x9E3779B97F4A7C15
+
 
 def unique_anchors(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
     """Positions of lines met once in both spans, in the longest order common to both."""
@@ -159,6 +164,25 @@ def patience_blocks(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     return out
 
 
+def short_runs(hashes: np.ndarray, sizes: np.ndarray, ends: np.ndarray, min_line: int, min_block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and hashes of the shortest runs of lines below min_line that have min_block characters.
+
+    The lines are those of several documents, ends the number of lines up to the end of each line's document.
+    """
+    n = len(sizes)
+    chars = np.append(0, np.cumsum(sizes))
+    long = np.append(0, np.cumsum(sizes >= min_line))
+    at = np.flatnonzero(sizes > 0)
+    stop = np.searchsorted(chars, chars[at] + max(min_block, 1))
+    ok = stop <= ends[at]
+    at, stop = at[ok], stop[ok]
+    ok = long[stop] == long[at]
+    at, stop = at[ok], stop[ok]
+    up, down = (np.append(_U(1), np.cumprod(np.full(n, m, dtype=np.uint64))) for m in (_U(_STEP), _U(pow(_STEP, -1, 1 << 64))))
+    sums = np.append(_U(0), np.cumsum(mix(hashes.copy()) * up[:n]))
+    return at, stop - at, mix((sums[stop] - sums[at]) * down[at])
+
+
 def _lines(text_col: str) -> Column:
     return F.transform(F.split(F.col(text_col), "\n", -1), lambda x: F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")))
 
@@ -181,25 +205,36 @@ def shared_blocks(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch,
                 found.append(gone)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], ["doc", "gone"])
 
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, size = b.column(1), b.column(2)
+            many = np.diff(h.offsets.to_numpy())
+            ends = np.repeat(np.cumsum(many), many)
+            at, n, key = short_runs(h.flatten().to_numpy().view(np.uint64), size.flatten().to_numpy().astype(np.int64), ends, min_line, min_block)
+            starts = ends - np.repeat(many, many)
+            doc = np.repeat(np.arange(len(many)), many)[at]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array((at - starts[at]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key.view(np.int64))], ["doc", "at", "n", "line"])
+
     def aligned(pairs: DataFrame) -> DataFrame:
         """Numbers of the lines (doc, at) that these pairs (doc, early) align."""
         early = lines.select(F.col("doc").alias("early"), F.col("hashes").alias("other"))
         both = pairs.join(lines, "doc").join(early, "early")
         return both.select("doc", "hashes", "sizes", "other").mapInArrow(run, f"doc {kind}, gone array<int>").select("doc", F.explode("gone").alias("at"))
 
-    placed = lines.select("doc", F.posexplode(F.arrays_zip("hashes", "sizes")).alias("at", "l")).where(F.col("l.sizes") >= min_line).select("doc", "at", F.col("l.hashes").alias("line"))
+    placed = lines.select("doc", F.posexplode(F.arrays_zip("hashes", "sizes")).alias("at", "l")).where(F.col("l.sizes") >= min_line).select("doc", "at", F.lit(1).alias("n"), F.col("l.hashes").alias("line"))
+    placed = placed.unionAll(scratch.keep(lines.select("doc", "hashes", "sizes").mapInArrow(runs, f"doc {kind}, at int, n int, line long")))
     held = placed.select("doc", "line")
     first = held.groupBy("line").agg(F.min("doc").alias("early"), F.count("*").alias("times")).where("times > 1").drop("times")
     gone = scratch.keep(aligned(held.join(first, "line").where("early < doc").select("doc", "early").distinct()))
     # what the first holders leave; holders are numbered only for lines among it
-    left = placed.join(first, "line").where("early < doc").select("doc", "at", "line").join(gone, ["doc", "at"], "left_anti")
+    left = placed.join(first, "line").where("early < doc").select("doc", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("at"), "line").join(gone, ["doc", "at"], "left_anti")
     left = scratch.keep(left)
     ranked = held.join(left.select("line").distinct(), "line", "left_semi").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("line").orderBy("doc")) - 1)
     ranked = scratch.keep(ranked)
     left = left.join(ranked.withColumnRenamed("rank", "own"), ["doc", "line"])
     low = 1
     while not (left := scratch.keep(left.where(F.col("own") > low))).isEmpty():
-        tries = left.select("doc", "line", F.explode(F.sequence(F.lit(low), F.least(F.lit(2 * low), "own") - 1)).alias("rank"))
+        tries = left.select("doc", "line", F.explode(F.sequence(F.lit(low), F.least(F.lit(2 * low), "own") - 1)).alias("rank")).distinct()
         more = scratch.keep(aligned(tries.join(ranked.withColumnRenamed("doc", "early"), ["line", "rank"]).select("doc", "early").distinct()))
         gone = gone.unionAll(more)
         left = left.join(more, ["doc", "at"], "left_anti")
