@@ -148,10 +148,53 @@ def test_jaccard_join(docs, k, num):
                     todo.append(j)
         ids = [rows[j][0] for j in seen if rows[j][0] is not None]
         want.append((rows[i][0], len(sets[i]), min(ids) if ids else None, len(links[i])))
-    got = [(r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_components(docs, k, num, 100).collect()]
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_components(docs, k, num, 100, count_links=True).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
+def test_jaccard_join_of_clusters(spark):
+    """Edited copies of some texts, most of them not linked with each other, many to a cluster."""
+    from traceloom.llm.jaccard_join import jaccard_components
+
+    rng = random.Random(11)
+    out = []
+    for c in range(6):
+        base = [f"c{c}w{rng.randrange(400)}" for _ in range(rng.choice([60, 150, 400]))]
+        for _ in range(40):
+            v = list(base)
+            for _ in range(rng.randint(0, len(v) // 25 + 1)):
+                v[rng.randrange(len(v))] = f"n{rng.randrange(10**6)}"
+            out.append(" ".join(v))
+    rows = [(i // 2 if i % 7 == 0 else i, t) for i, t in enumerate(out)]
+    sets = shingle_sets(rows, 3)
+    leader = list(range(len(rows)))
+
+    def find(i):
+        while leader[i] != i:
+            i = leader[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 90 * len(a | sets[j]):
+                leader[find(i)] = find(j)
+    smallest = {}
+    for i, (d, _) in enumerate(rows):
+        smallest[find(i)] = min(d, smallest.get(find(i), d))
+    want = [(d, len(sets[i]), smallest[find(i)]) for i, (d, _) in enumerate(rows)]
+    got = [tuple(r) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_sieve_lets_all_members_pass(spark):
+    from traceloom.llm.scratch import sieve
+
+    rows = spark.range(20000).selectExpr("xxhash64(id) AS k", "id")
+    kept = sieve(rows, rows.where("id % 7 = 3").select("k"), "k")
+    assert kept.where("id % 7 = 3").count() == rows.where("id % 7 = 3").count()
+    assert kept.count() < 3000 and sieve(rows, rows.where("false"), "k").count() == 0
+
+
 def test_jaccard_join_of_nothing_and_one_of_each(docs):
     from traceloom.llm.jaccard_join import jaccard_components, one_of_each
 

@@ -9,15 +9,17 @@
    prefixes, take the one that ends first; at most M of its shingles are missing in the
    other set, and those not missing lie within the other's prefix.
 3. Nodes with the same prefix and size are one group.  Group prefixes meet in shingles.
-   Groups that share fewer than K shingles with any others leave first; pairs go by their
-   sizes and by the exact lower bound that parity sketches give for the symmetric
-   difference.
-4. First only neighbours in a shingle's rows are compared, a number that does not grow
-   with the square of a group.  Then all pairs that may link and are not connected yet.
-5. Groups are expanded into member pairs, and each pair is verified on its whole texts.
+   Shingles leave that no group of about the same size has too, then groups with fewer than K.
+   The first shingle that linked prefixes share is among the first M + 1 of either.
+4. Each shingle's groups are compared with one pivot of them only, a number that does not
+   grow with the square of a group.  This connects most of what is linked.
+5. Then all pairs of groups that may link and are not connected yet.  A pair is made at its
+   first common shingle, if the sizes, the shingles left after their places, and the exact
+   lower bound that parity sketches give for the symmetric difference allow a link.
+6. Groups are expanded into member pairs, and each pair is verified on its whole texts.
    Pairs near each other are dealt together, large groups of them cut into blocks, so a
    text is sent once for each block pair that needs it and no task gets a whole group.
-6. Links are counted within components, block against block, without making pairs rows.
+   Only texts of such pairs are moved at all.
 
 Defined results
 * null or empty text, or no word: no shingles, linked with nothing;
@@ -29,15 +31,16 @@ Defined results
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.llm.components import connected_components
-from traceloom.llm.scratch import Scratch
+from traceloom.llm.scratch import Scratch, sieve
 from traceloom.llm.textcore import Words, chunks, distinct_by_owner, mix, shingles, texts_of
 
 #: A shingle in more than one of so many documents of a task is put last.
@@ -48,6 +51,8 @@ SHARED = 4
 SKETCH_WORDS = 8
 #: Nodes of a block in verification, and texts in a task's bucket, on average.
 BLOCK = 256
+#: First shingles of a group by which a pair is known to have been made before.
+HEAD = 6
 
 _U = np.uint64
 _SKETCH = [f"k{i}" for i in range(SKETCH_WORDS)]
@@ -104,7 +109,7 @@ def most_missing(sizes: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def features(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str, marks: np.ndarray) -> DataFrame:
-    """A row per document: set name and size, the group's name, prefix, and sketch."""
+    """A row per document: mark of the text, set name and size, the group's name, prefix, and sketch."""
     held = docs.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,89 +139,118 @@ def features(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
                 parity = np.bincount(owner * (64 * SKETCH_WORDS) + (value >> _U(64 - 6 - (SKETCH_WORDS - 1).bit_length())).astype(np.int64), minlength=len(part) * 64 * SKETCH_WORDS) & 1
                 sketch = np.packbits(parity.astype(np.uint8).reshape(len(part), -1), axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.array(names, pa.binary()), pa.array(n.astype(np.int32)), pa.array(shared.astype(np.int32)), pa.array(groups, pa.int64()), pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(prefix.view(np.int64))), *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(SKETCH_WORDS))],
-                    [id_col, "node", "n", "shared", "grp", "prefix", *_SKETCH],
+                    [b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(names, pa.binary()), pa.array(n.astype(np.int32)), pa.array(shared.astype(np.int32)), pa.array(groups, pa.int64()), pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(prefix.view(np.int64))), *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(SKETCH_WORDS))],
+                    ["id", "mark", "node", "n", "shared", "grp", "prefix", *_SKETCH],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, node binary, n int, shared int, grp long, prefix array<long>, " + ", ".join(f"{c} long" for c in _SKETCH)
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    schema = f"id {kind}, mark long, node binary, n int, shared int, grp long, prefix array<long>, " + ", ".join(f"{c} long" for c in _SKETCH)
+    return docs.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(run, schema)
 
 
-def _may_link(a: str, b: str, num: int, den: int, sketched: bool = True):
+def _least_common(a: str, b: str, num: int, den: int):
+    """Shingles that two linked rows have in common at least."""
+    return F.expr(f"(({a}.n + {b}.n) * {num}L + {num + den - 1}L) div {num + den}L")
+
+
+def _may_link(a: str, b: str, num: int, den: int):
     """Whether sizes and sketches of two rows leave room for a link; a row without sketch passes."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    sizes = (F.least(na, nb) * den >= F.greatest(na, nb) * num)
-    if not sketched:
-        return sizes
     both = (na + nb).cast("long")
-    common = F.expr(f"(({a}.n + {b}.n) * {num}L + {num + den - 1}L) div {num + den}L")
     differing = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in _SKETCH[1:]), F.bit_count(F.col(f"{a}.k0").bitwiseXOR(F.col(f"{b}.k0"))))
-    return sizes & F.coalesce(differing <= both - 2 * common, F.lit(True))
+    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & F.coalesce(differing <= both - 2 * _least_common(a, b, num, den), F.lit(True))
 
 
 class Candidates:
-    """Groups of nodes that share enough prefix shingles with others, and their shingles."""
+    """Groups of nodes that share enough prefix shingles with others, and those shingles.
 
-    def __init__(self, nodes: DataFrame, num: int, den: int, scratch: Scratch):
+    groups: grp, n, shared, tokens (place in the order and shingle, of those met in other groups), sketch of a single member.
+    members: grp, node, n, sketch, of these groups and of all with several nodes.
+    """
+
+    def __init__(self, rows: DataFrame, nodes: DataFrame, num: int, den: int, scratch: Scratch):
         self.num, self.den, self.scratch = num, den, scratch
-        row = F.struct("n", "shared", "prefix", *_SKETCH)
-        groups = nodes.groupBy("grp").agg(F.count("*").alias("members"), F.min_by(row, "node").alias("r"))
-        one = lambda c: F.when(F.col("members") == 1, F.col(f"r.{c}")).alias(c)
-        groups = scratch.keep(groups.select("grp", "members", F.col("r.n").alias("n"), F.col("r.shared").alias("shared"), F.col("r.prefix").alias("prefix"), *map(one, _SKETCH)))
-        follows = F.transform("prefix", lambda t, i: F.struct(t.alias("token"), F.get("prefix", i + 1).alias("next"), F.get("prefix", i + 2).alias("after")))
-        tokens = groups.select("grp", "shared", "n", F.inline(follows))
-        met = tokens.groupBy("token").agg(F.count("*").alias("times")).where("times > 1").select("token")
-        meeting = scratch.keep(tokens.join(met, "token"))
-        enough = meeting.groupBy("grp").agg(F.count("*").alias("hits"), F.first("shared").alias("shared")).where("hits >= shared").select("grp")
-        self.rows = scratch.keep(meeting.join(enough, "grp").drop("shared"), release=True)
-        self.slim = scratch.keep(groups.join(enough, "grp").select("grp", "n", "shared", *_SKETCH))
-        several = groups.where("members > 1").select("grp")
-        self.members = scratch.keep(nodes.select("grp", "node", "n", *_SKETCH).join(enough.unionByName(several).distinct(), "grp"))
-
-    def neighbours(self) -> DataFrame:
-        """Pairs of neighbours: in each shingle's rows, ordered by the shingles that follow in the prefix, and in each group.
-
-        As many as there are rows, whatever the size of a group; they join most of what is linked.
+        several = lambda df, key: df.groupBy(key).agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select(key)
+        placed = rows.where("node is not null").select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
+        placed = placed.join(several(placed, "token"), "token", "left_semi")
+        # sizes that may link are of one class or of two neighbouring ones, and each class is also put with the next
+        size = F.floor(F.log("n") / (math.log(den / num) * (1 + 1e-9))) if num < den else F.col("n")
+        placed = placed.select("grp", "pos", "token", F.explode(F.array(F.xxhash64("token", size), F.xxhash64("token", size + 1))).alias("cell"))
+        met = placed.join(several(placed, "cell"), "cell", "left_semi").groupBy("grp").agg(F.sort_array(F.collect_set(F.struct("pos", "token"))).alias("tokens"))
+        one = lambda c: F.when(F.count("*") == 1, F.min(c)).alias(c)
+        groups = nodes.groupBy("grp").agg(F.count("*").alias("members"), F.min("n").alias("n"), F.min("shared").alias("shared"), *map(one, _SKETCH))
+        groups = groups.join(met, "grp", "left").withColumn("enough", F.coalesce(F.size("tokens") >= F.col("shared"), F.lit(False)))
+        groups = scratch.keep(groups.where("enough or members > 1"))
+        self.groups = groups.where("enough").drop("enough", "members")
+        self.members = scratch.keep(nodes.select("grp", "node", "n", *_SKETCH).join(groups.select("grp"), "grp"))
+
+    def _rows(self, *columns: str) -> DataFrame:
+        """A row per group and shingle that may be the first one shared with a linked group."""
+        rows = self.groups.select("grp", "n", *columns, F.size("tokens").alias("hits"), F.transform(F.slice("tokens", 1, HEAD), lambda x: x["token"]).alias("head"), F.posexplode("tokens").alias("i", "t"))
+        return rows.select("grp", "n", "hits", *columns, "t.pos", "t.token", F.slice("head", 1, F.least("i", F.lit(HEAD))).alias("before")).where(F.expr(f"pos <= n - (n * {self.num}L + {self.den - 1}L) div {self.den}L"))
+
+    def _may_meet(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (ga, gb) of groups whose prefixes have as many shingles in common as linked ones have."""
+        side = lambda g, c: self.groups.select(F.col("grp").alias(g), F.struct("n", "shared", F.transform("tokens", lambda x: x["token"]).alias("tokens"), *_SKETCH).alias(c))
+        both = pairs.join(side("ga", "x"), "ga").join(side("gb", "y"), "gb").where(_may_link("x", "y", self.num, self.den))
+        return both.where(F.size(F.array_intersect("x.tokens", "y.tokens")) >= F.least("x.shared", "y.shared")).select("ga", "gb")
+
+    def pivots(self) -> DataFrame:
+        """Pairs of nodes: of each group and one group of each of its shingles, and of each node and one of its group.
+
+        The pivot is the group that shares most shingles with others, an unchanged copy rather than an edited one.
         """
-        w = Window.partitionBy("token").orderBy("next", "after", "n", "grp")
-        pairs = self.rows.select("grp", F.lag("grp").over(w).alias("before")).where("before is not null")
-        pairs = pairs.select(F.least("grp", "before").alias("ga"), F.greatest("grp", "before").alias("gb")).distinct()
-        x, y = self.slim.alias("x"), self.slim.alias("y")
-        pairs = pairs.join(x, F.col("ga") == F.col("x.grp")).join(y, (F.col("gb") == F.col("y.grp")) & _may_link("x", "y", self.num, self.den)).select("ga", "gb")
-        first = self.members.groupBy("grp").agg(F.min("node").alias("node"))
-        across = pairs.join(first.select(F.col("grp").alias("ga"), F.col("node").alias("a")), "ga").join(first.select(F.col("grp").alias("gb"), F.col("node").alias("b")), "gb").select("a", "b")
-        m = F.struct("node", "n", *_SKETCH)
-        near = self.members.select(m.alias("x"), F.lag(m).over(Window.partitionBy("grp").orderBy(*_SKETCH, "node")).alias("y")).where("y is not null").where(_may_link("x", "y", self.num, self.den))
-        both = across.unionByName(near.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+        rows = self._rows().select("token", "grp", "hits")
+        pivot = rows.groupBy("token").agg(F.max(F.struct("hits", "grp")).alias("p"))
+        met = rows.join(pivot, "token").where(F.col("grp") != F.col("p.grp"))
+        pairs = self._may_meet(met.select(F.least("grp", "p.grp").alias("ga"), F.greatest("grp", "p.grp").alias("gb")).distinct())
+        head = self.members.groupBy("grp").agg(F.min(F.struct("node", "n", *_SKETCH)).alias("h"))
+        across = pairs.join(head.select(F.col("grp").alias("ga"), F.col("h.node").alias("a")), "ga").join(head.select(F.col("grp").alias("gb"), F.col("h.node").alias("b")), "gb").select("a", "b")
+        within = self.members.alias("x").join(head.select("grp", F.col("h").alias("y")), "grp").where(F.col("x.node") != F.col("y.node")).where(_may_link("x", "y", self.num, self.den))
+        both = across.unionByName(within.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
         return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def across(self, parts: DataFrame) -> DataFrame:
-        """All pairs that may link and are not in one component yet.  parts: node, component."""
+        """All pairs of nodes that may link and are not in one component yet.  parts: node, component.
+
+        If a pair of groups has a common shingle that stands before this one in both heads, it
+        is made there.  At its first common shingle, what follows must hold all that linked sets share.
+        """
+        num, den = self.num, self.den
         members = self.scratch.keep(self.members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")))
-        # a group stands for its members' component; a group with several is compared with all
-        of = members.groupBy("grp").agg(F.min("component").alias("component"), F.max("component").alias("other"))
-        of = self.scratch.keep(of.select("grp", F.when(F.col("component") == F.col("other"), F.col("component")).alias("component")))
-        rows = self.rows.select("grp", "token").join(of, "grp")
-        mixed = rows.groupBy("token").agg(F.min("component").alias("one"), F.max("component").alias("other"), F.count("*").alias("all"), F.count("component").alias("sure")).where("one != other or sure < all").select("token")
-        rows = self.scratch.keep(rows.join(mixed, "token").join(self.slim, "grp"))
+        # a group stands for its members' component, if it is one
+        of = members.groupBy("grp").agg(F.min("component").alias("component"), F.max("component").alias("other"), F.min("node").alias("first"), F.max("node").alias("last"))
+        of = self.scratch.keep(of.select("grp", F.xxhash64("component").alias("part"), (F.col("component") == F.col("other")).alias("sure"), (F.col("first") == F.col("last")).alias("single")))
+        rows = self._rows(*_SKETCH).drop("hits").join(of, "grp")
+        mixed = rows.groupBy("token").agg(F.min("part").alias("one"), F.max("part").alias("other"), F.bool_and("sure").alias("all"), F.count_if(F.col("single")).alias("times"), F.bool_and("single").alias("singles")).where("one != other and (times > 2 or not singles) or not all").select("token")  # of two single nodes one was the other's pivot
+        rows = self.scratch.keep(rows.drop("single").join(mixed, "token", "left_semi"))
         x, y = rows.alias("x"), rows.alias("y")
-        apart = F.coalesce(F.col("x.component") != F.col("y.component"), F.lit(True))
-        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.grp") < F.col("y.grp")) & apart & _may_link("x", "y", self.num, self.den))
-        pairs = pairs.groupBy(F.col("x.grp").alias("ga"), F.col("y.grp").alias("gb"), F.least("x.shared", "y.shared").alias("least")).agg(F.count("*").alias("hits")).where("hits >= least").select("ga", "gb")
+        apart = (F.col("x.part") != F.col("y.part")) | ~F.col("x.sure") | ~F.col("y.sure")
+        after = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= _least_common("x", "y", num, den)
+        new = ~F.arrays_overlap("x.before", "y.before")
+        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.grp") < F.col("y.grp")) & apart & after & _may_link("x", "y", num, den) & new)
+        pairs = self._may_meet(pairs.select(F.col("x.grp").alias("ga"), F.col("y.grp").alias("gb")).distinct())
         a, b = members.alias("a"), members.alias("b")
-        may = (F.col("a.component") != F.col("b.component")) & _may_link("a", "b", self.num, self.den)
+        may = (F.col("a.component") != F.col("b.component")) & _may_link("a", "b", num, den)
         between = pairs.join(a, F.col("ga") == F.col("a.grp")).join(b, (F.col("gb") == F.col("b.grp")) & may)
-        several = members.join(of.where("component is null").select("grp"), "grp")
+        several = members.join(of.where("not sure").select("grp"), "grp", "left_semi")
         c, d = several.alias("a"), several.alias("b")
         within = c.join(d, (F.col("a.grp") == F.col("b.grp")) & (F.col("a.node") < F.col("b.node")) & may)
         return between.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).unionByName(within.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))).distinct()
 
 
-def _texts_for(needed: DataFrame, docs: DataFrame, where: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """needed with the text of each row's node; where: a document id for each node."""
-    wanted = needed.join(where.select("node", F.col(id_col).alias("wanted")), "node").drop("node")
-    return docs.select(F.col(id_col).alias("found"), F.col(text_col).alias("text")).join(wanted, F.col("found").eqNullSafe(F.col("wanted"))).drop("found", "wanted")
+class Texts:
+    """Texts of nodes, read again from the documents when they are needed."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, text_col: str):
+        self.docs = docs.select(F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text")).where("text is not null")
+        self.nodes = nodes.select("node", "mark")
+
+    def of(self, needed: DataFrame) -> DataFrame:
+        """needed (node and more) with the text of each row's node."""
+        wanted = self.nodes.join(needed.select("node").distinct(), "node")
+        texts = sieve(self.docs, wanted, "mark").join(wanted.select("mark").distinct(), "mark", "left_semi").groupBy("mark").agg(F.min("text").alias("text"))
+        return needed.join(wanted.join(texts, "mark").select("node", "text"), "node")
 
 
 def _named_sets(texts: list[bytes], k: int) -> dict[bytes, np.ndarray]:
@@ -235,7 +269,7 @@ def _links(s: np.ndarray, t: np.ndarray, num: int, den: int) -> bool:
     return den * common >= num * (len(s) + len(t) - common)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, where: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+def verified(pairs: DataFrame, texts: Texts, k: int, num: int, den: int, scratch: Scratch) -> DataFrame:
     """The pairs whose sets, made from whole texts, reach the similarity."""
     pairs = scratch.keep(pairs)
     # pairs that are near each other go together: by the smaller of the smallest neighbours of their nodes
@@ -248,17 +282,19 @@ def verified(pairs: DataFrame, docs: DataFrame, where: DataFrame, k: int, num: i
     buckets = max(1, -(-near.count() // BLOCK))
     dealt = scratch.keep(placed.select("a", "b", F.expr(f"pmod(xxhash64(near, least(i, j), greatest(i, j)), {buckets}L)").alias("bucket")))
     needed = dealt.select(F.col("bucket").alias("part"), F.col("a").alias("node")).unionByName(dealt.select("bucket", "b").toDF("part", "node")).distinct()
-    texts = _texts_for(needed, docs, where, id_col, text_col)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         of = _named_sets(texts_of(right["text"]), k)
         good = [_links(of[x], of[y], num, den) for x, y in zip(left["a"].to_pylist(), left["b"].to_pylist(), strict=True)]
         return left.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return dealt.groupBy("bucket").cogroup(texts.groupBy("part")).applyInArrow(run, "a binary, b binary")
+    found = dealt.groupBy("bucket").cogroup(texts.of(needed).select("part", "text").groupBy("part")).applyInArrow(run, "a binary, b binary")
+    found = scratch.keep(found)
+    scratch.drop(*range(scratch.n - 4, scratch.n))
+    return found
 
 
-def link_counts(parts: DataFrame, nodes: DataFrame, docs: DataFrame, where: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+def link_counts(parts: DataFrame, nodes: DataFrame, texts: Texts, k: int, num: int, den: int) -> DataFrame:
     """For each node of a component the rows that it links to in other nodes.
 
     All links are within components.  A component is cut into blocks of nodes, and each two
@@ -269,8 +305,8 @@ def link_counts(parts: DataFrame, nodes: DataFrame, docs: DataFrame, where: Data
     buckets = max(1, -(-parts.count() // BLOCK))
     placed = placed.select("node", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"))
     placed = placed.withColumn("part", F.expr(f"pmod(xxhash64(component, i, j), {buckets}L)"))
-    known = placed.join(nodes.select("node", "n", *_SKETCH), "node").join(where.select("node", "copies"), "node")
-    texts = _texts_for(placed.select(F.col("part").alias("at"), "node").distinct(), docs, where, id_col, text_col)
+    known = placed.join(nodes.select("node", "n", "copies", *_SKETCH), "node")
+    texts = texts.of(placed.select(F.col("part").alias("at"), "node").distinct()).select("at", "text")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         of = _named_sets(texts_of(right["text"]), k)
@@ -300,43 +336,47 @@ def link_counts(parts: DataFrame, nodes: DataFrame, docs: DataFrame, where: Data
     return found.groupBy("node").agg(F.sum("others").alias("others"))
 
 
-def linked_nodes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """The rows with their nodes, the nodes, an id and the copies of each node, and its component if linked."""
-    rows = scratch.keep(features(docs, k, num, den, id_col, text_col, heavy_shingles(docs, k, text_col)))
-    full = rows.where("node is not null")
-    nodes = scratch.keep(full.dropDuplicates(["node"]).drop(id_col))
-    where = scratch.keep(full.groupBy("node").agg(F.min(id_col).alias(id_col), F.count("*").alias("copies")))
-    found = Candidates(nodes, num, den, scratch)
-    how = (docs, where, k, num, den, id_col, text_col, scratch)
-    near = scratch.keep(verified(found.neighbours(), *how))
-    rest = verified(found.across(connected_components(near, scratch)), *how)
-    return rows, nodes, where, scratch.keep(connected_components(near.unionByName(rest), scratch))
+class Linked:
+    """rows: each row's id, node and n; nodes: with their smallest id and copies; parts: node, component if linked."""
+
+    def __init__(self, docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str, scratch: Scratch):
+        self.rows = scratch.keep(features(docs, k, num, den, id_col, text_col, heavy_shingles(docs, k, text_col)))
+        any_of = [F.min(c).alias(c) for c in ("n", "shared", "grp", "mark", *_SKETCH)]
+        self.nodes = scratch.keep(self.rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), *any_of))
+        self.texts = Texts(docs, self.nodes, text_col)
+        found = Candidates(self.rows, self.nodes, num, den, scratch)
+        links = verified(found.pivots(), self.texts, k, num, den, scratch)
+        parts = scratch.keep(connected_components(links, scratch))
+        rest = verified(found.across(parts), self.texts, k, num, den, scratch)
+        self.parts = scratch.keep(connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest), scratch))
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
     """Each row's id, n_shingles, component_id and, if wanted, n_links.
 
     Rows link when den * intersection >= num * union of their shingle sets.
-    component_id is the smallest id reachable by links, n_links the number of other rows linked.
+    component_id is the smallest id reachable by links, n_links the number of other rows
+    linked, for which each two nodes of a component are compared.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
-    rows, nodes, where, parts = linked_nodes(docs, k, num, den, id_col, text_col, scratch)
-    smallest = parts.join(where, "node").groupBy("component").agg(F.min(id_col).alias("smallest"))
-    known = where.join(parts, "node", "left").join(smallest, "component", "left")
-    columns = ["node", F.coalesce("smallest", F.col(id_col)).alias("component_id")]
+    linked = Linked(docs, k, num, den, id_col, text_col, scratch)
+    smallest = linked.parts.join(linked.nodes, "node").groupBy("component").agg(F.min("id").alias("smallest"))
+    known = linked.nodes.select("node", "id", "copies").join(linked.parts, "node", "left").join(smallest, "component", "left")
+    columns = ["node", F.coalesce("smallest", "id").alias("component_id")]
     if count_links:
-        known = known.join(link_counts(parts, nodes, docs, where, k, num, den, id_col, text_col), "node", "left")
+        known = known.join(link_counts(linked.parts, linked.nodes, linked.texts, k, num, den), "node", "left")
         columns.append((F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    out = rows.select(id_col, "node", F.col("n").cast("long").alias("n_shingles")).join(known.select(*columns), "node", "left")
+    out = linked.rows.select("id", "node", F.col("n").cast("long").alias("n_shingles")).join(known.select(*columns), "node", "left")
     links = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
-    return out.select(id_col, "n_shingles", F.coalesce("component_id", F.col(id_col)).alias("component_id"), *links)
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"), *links)
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without all but one row of each component: the one with the smallest id, then the first."""
     scratch = Scratch(docs.sparkSession, "jaccard")
-    rows = scratch.keep(docs.withColumn("__row", F.monotonically_increasing_id()))
-    found = jaccard_components(rows, k, num, den, "__row", text_col, count_links=False)
-    ids = rows.select("__row", F.col(f"`{id_col}`").alias("__id"))
-    best = found.join(ids, "__row").groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__row")).alias("best"))
-    return rows.join(best.select("best.__row"), "__row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # names of docs cannot clash with these
+    rows = scratch.keep(docs.select(whole, F.monotonically_increasing_id().alias("at")))
+    found = jaccard_components(rows.select("at", F.col(f"row.`{text_col}`").alias("text")), k, num, den, "at", "text")
+    found = found.join(rows.select("at", F.col(f"row.`{id_col}`").alias("id")), "at")
+    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "at")).alias("best"))
+    return rows.join(best.select("best.at"), "at", "left_semi").select("row.*")

@@ -13,6 +13,25 @@ import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bits of a sieve, 8 MB of broadcast whatever the input; a fuller sieve lets more rows pass.
+SIEVE_BITS = 26
+_MAP_BITS = 32768
+
+
+def sieve(df: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key may be one of the members' keys; a join has to follow.
+
+    Members' keys are marked in a bitmap of fixed size, which is broadcast, so rows that
+    cannot match are not shuffled.  key: a long column of both, without nulls.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(1 << SIEVE_BITS))
+    part, bit = F.floor(slot / _MAP_BITS).cast("int"), F.pmod(slot, F.lit(_MAP_BITS)).cast("int")
+    maps = members.select(part.alias("_sieve_part"), bit.alias("_sieve_bit")).groupBy("_sieve_part").agg(F.bitmap_construct_agg("_sieve_bit").alias("_sieve_map"))
+    byte = F.conv(F.hex(F.expr("substring(_sieve_map, _sieve_bit div 8 + 1, 1)")), 16, 10).cast("int")
+    out = df.withColumns({"_sieve_part": part, "_sieve_bit": bit}).join(F.broadcast(maps), "_sieve_part")  # at most 2048 rows of 4 KB
+    return out.where(byte.bitwiseAND(F.expr("shiftleft(1, _sieve_bit % 8)")) != 0).drop("_sieve_part", "_sieve_bit", "_sieve_map")
 
 
 def shared_dir(spark: SparkSession) -> str:
