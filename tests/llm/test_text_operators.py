@@ -60,7 +60,7 @@ def test_packing_round_trip(docs):
     from traceloom.llm.queries import TOKENIZER
 
     t = Tokenizer.from_file(TOKENIZER)
-    out = pack(docs, TOKENIZER, with_ids=True, group_docs=16).collect()
+    out = pack(docs, TOKENIZER, with_ids=True, group_pieces=16).collect()
     want = collections.Counter((d, tuple([*t.encode(x or "", add_special_tokens=False).ids, 0])) for d, x in rows_of(docs))
     by_doc = collections.defaultdict(list)
     for r in out:
@@ -91,18 +91,49 @@ def test_unit_cache_equals_the_tokenizer():
 
     tok = packing.UnitTokenizer(TOKENIZER)
     rng = random.Random(2)
-    bits = [" ", "\n", "  ", "\n\n", " \n", "a", "Bc", "é", "don't", "12", ",", "...", "\t", "\xa0", "<|endoftext|>", "日本", "'s", "\0"]
+    bits = [" ", "\n", "  ", "\n\n", " \n", "a", "Bc", "é", "don't", "12", ",", "...", "\t", "\xa0", "<|endoftext|>", "日本", "'s", "\0", "é,", "a.b", "\u200b", "\u3000", "…", "\n", "It", "!?", "\u00e9.", "\u00f7", "x***", "(", "'ll", "longer-than-sixteen-bytes"]
     for _ in range(1500):
         s = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
-        assert tok.encode_all([s])[0] == np.array(tok.inner.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert tok.encode_all([s.encode()])[0] == np.array(tok.inner.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
     packing.SPAN, kept = 50, packing.SPAN
     try:
         s = "some words, and more\nof them " * 30
-        assert tok.encode_all([s])[0] == np.array(tok.inner.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert tok.encode_all([s.encode()])[0] == np.array(tok.inner.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
     finally:
         packing.SPAN = kept
 
 
+def test_merges_of_words_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    from traceloom.llm.packing import WordMerges
+    from traceloom.llm.queries import TOKENIZER
+
+    inner = Tokenizer.from_file(TOKENIZER)
+    merges, rng = WordMerges(inner), random.Random(8)
+    assert merges.agrees
+    parts = ["th", "e", "in", "ing", "st", "qu", "a", "an", "ss", "er", "on", "X", "Le", "zz", "ab", "\u00e9", "\u00dfe", "\u00d1"]
+    units = [rng.choice(["", " "]) + "".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(20000)]
+    raw = [u.encode() for u in units]
+    plain, flat, count = merges.encode(raw)
+    assert sorted(plain) == [k for k, u in enumerate(raw) if len(u) <= merges.LONGEST]
+    ends = np.cumsum(count)
+    assert all(flat[z - n : z].tolist() == inner.encode(units[k], add_special_tokens=False).ids for k, n, z in zip(plain, count, ends, strict=True))
+    assert merges.encode([b"a b", b"it's", "\u00d7".encode(), b"12", b"  a", b"\n", "\u65e5".encode()])[0] == []
+
+
+def test_unit_table_that_fills_up():
+    from traceloom.llm import packing
+    from traceloom.llm.queries import TOKENIZER
+
+    tok = packing.UnitTokenizer(TOKENIZER)
+    tok.table = packing.UnitTable(4)
+    for part in range(4):
+        texts = [f"w{part}x{i} and y{i % 7}, z" for i in range(40)] + [""]
+        want = [np.array(tok.inner.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+        assert tok.encode_all([t.encode() for t in texts]) == want
+
+
 def test_first_fit_decreasing_equals_a_scan():
     from traceloom.llm.packing import first_fit_decreasing
 
