@@ -259,6 +259,22 @@ def test_suffix_dedup(docs, length, slice_size):
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
+def test_suffix_dedup_of_a_text_in_pieces(spark, monkeypatch):
+    """Windows that are anchored in several pieces repeat like those in one."""
+    from traceloom.llm import suffix_dedup
+
+    rng = random.Random(3)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    texts = [base + "x" * 3 + base[500:900], "y" + base[100:2500], "z" * 150, "short"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = {}
+    for piece in (64, 1 << 22):
+        monkeypatch.setattr(suffix_dedup._anchored, "__defaults__", (piece,))
+        out = suffix_dedup.remove_repeats(rows.selectExpr("text", "length(text) AS doc_id"), 40)
+        found[piece] = sorted((r["doc_id"], bytes(r["kept"])) for r in out.collect())
+    assert found[64] == found[1 << 22]
+
+
 def test_suffix_dedup_of_nothing(docs):
     from traceloom.llm.suffix_dedup import remove_repeats
 

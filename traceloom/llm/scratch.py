@@ -20,18 +20,23 @@ SIEVE_BITS = 26
 _MAP_BITS = 32768
 
 
-def sieve(df: DataFrame, members: DataFrame, key: str) -> DataFrame:
-    """The rows of df whose key may be one of the members' keys; a join has to follow.
+def marked(df: DataFrame, members: DataFrame, key: str, flag: str) -> DataFrame:
+    """df with a flag whether a row's key may be one of the members' keys; a join has to follow.
 
     Members' keys are marked in a bitmap of fixed size, which is broadcast, so rows that
-    cannot match are not shuffled.  key: a long column of both, without nulls.
+    cannot match need no shuffle.  key: a long column of both, without nulls.
     """
     slot = F.pmod(F.xxhash64(key), F.lit(1 << SIEVE_BITS))
     part, bit = F.floor(slot / _MAP_BITS).cast("int"), F.pmod(slot, F.lit(_MAP_BITS)).cast("int")
     maps = members.select(part.alias("_sieve_part"), bit.alias("_sieve_bit")).groupBy("_sieve_part").agg(F.bitmap_construct_agg("_sieve_bit").alias("_sieve_map"))
     byte = F.conv(F.hex(F.expr("substring(_sieve_map, _sieve_bit div 8 + 1, 1)")), 16, 10).cast("int")
-    out = df.withColumns({"_sieve_part": part, "_sieve_bit": bit}).join(F.broadcast(maps), "_sieve_part")  # at most 2048 rows of 4 KB
-    return out.where(byte.bitwiseAND(F.expr("shiftleft(1, _sieve_bit % 8)")) != 0).drop("_sieve_part", "_sieve_bit", "_sieve_map")
+    out = df.withColumns({"_sieve_part": part, "_sieve_bit": bit}).join(F.broadcast(maps), "_sieve_part", "left")  # at most 2048 rows of 4 KB
+    return out.withColumn(flag, F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, _sieve_bit % 8)")) != 0, F.lit(False))).drop("_sieve_part", "_sieve_bit", "_sieve_map")
+
+
+def sieve(df: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key may be one of the members' keys."""
+    return marked(df, members, key, "_sieve_may").where("_sieve_may").drop("_sieve_may")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,17 +54,11 @@ class Scratch:
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
         atexit.register(self.drop)
 
-    def keep(self, df: DataFrame, release: bool = False) -> DataFrame:
-        """Write df and return the table read back with the same schema.
-
-        release: let Spark's cleaner delete the shuffle files that only this write needed,
-        which it does when the driver's objects for them are collected.
-        """
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Write df and return the table read back with the same schema."""
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        if release:
-            self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: int) -> None:

@@ -20,9 +20,13 @@ somewhere else.  Strings of that length are called windows here.
 
 Defined results
 * null or empty text, or one shorter than a window: nothing is removed;
-* null or repeated ids, repeated rows: every row is a document; equal rows are copies;
+* null or repeated ids, repeated rows: every row is a document; rows with equal texts are copies;
 * ties need no order: all places of a repeated string are removed, the first included;
+* very long text: its windows are anchored in pieces, so only the text is held as a whole;
 * empty table: no rows; further columns of the input are ignored.
+
+A text is named by 96 bits of hashes, so it is read from the documents where it is
+needed, and only texts with such segments are moved.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.scratch import Scratch
+from traceloom.llm.scratch import Scratch, marked, sieve
 from traceloom.llm.textcore import chunks, mix, powers, running_hash, texts_of
 
 LENGTH = 200
@@ -43,7 +47,9 @@ GRAM = 32
 #: Bytes of segments in a shard, on average.
 SHARD_BYTES = 3 << 20
 #: Segments of one anchor in a slice.
-SLICE = 8192
+SLICE = 4096
+#: Windows of a text that are anchored at once.
+PIECE = 1 << 22
 
 _U = np.uint64
 _AT = _U((1 << 28) - 1)
@@ -231,23 +237,38 @@ class SuffixArray:
         return own, starts - base, ends - base
 
 
-def _anchored(docs: DataFrame, length: int) -> DataFrame:
-    """A row per text and distinct segment: anchor, segment, rid, windows, and all first windows."""
+def _named(docs: DataFrame) -> DataFrame:
+    """docs with the name of the text."""
+    return docs.withColumns({"r1": F.xxhash64("text"), "r2": F.hash("text")})
+
+
+def _anchored(docs: DataFrame, length: int, piece: int = PIECE) -> DataFrame:
+    """A row per text and distinct segment: anchor, segment, the text's name, windows, and all first windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rid, texts = b.column(0).to_numpy(), texts_of(b.column(1))
+            whole, of, offset = texts_of(b.column(0)), [], []
+            texts = []
+            for i, t in enumerate(whole):
+                for at in range(0, max(1, len(t)), piece):
+                    texts.append(t if len(t) <= piece else t[at : at + piece + length - 1])
+                    of.append(i)
+                    offset.append(at)
+            of, offset = np.array(of, dtype=np.int64), np.array(offset, dtype=np.int64)
             for a, z in chunks(texts):
                 s = segments(texts[a:z], length)
+                s["lo"] += offset[a + s["doc"]]
+                s["doc"] = of[a + s["doc"]]
                 order = np.lexsort((s["lo"], s["segment"], s["anchor"], s["doc"]))
                 doc, anchor, segment = (s[c][order] for c in ("doc", "anchor", "segment"))
                 new = np.ones(len(order), dtype=bool)
                 new[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]) | (segment[1:] != segment[:-1])
                 at = np.flatnonzero(new)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(order)).astype(np.int32)), pa.array(s["lo"][order].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[at].view(np.int64)), pa.array(segment[at].view(np.int64)), pa.array(rid[a:z][doc[at]]), pa.array(s["windows"][order][at].astype(np.int32)), lists], ["anchor", "segment", "rid", "windows", "lo"])
+                name = pa.array(doc[at])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[at].view(np.int64)), pa.array(segment[at].view(np.int64)), b.column(1).take(name), b.column(2).take(name), pa.array(s["windows"][order][at].astype(np.int32)), lists], ["anchor", "segment", "r1", "r2", "windows", "lo"])
 
-    return docs.select("rid", "text").mapInArrow(run, "anchor long, segment long, rid long, windows int, lo array<int>")
+    return _named(docs.where(F.octet_length("text") >= length)).select("text", "r1", "r2").mapInArrow(run, "anchor long, segment long, r1 long, r2 int, windows int, lo array<int>")
 
 
 def _sharded(texts: DataFrame, length: int) -> DataFrame:
@@ -290,28 +311,31 @@ def repeated_windows(table: pa.Table, length: int = LENGTH) -> pa.Table:
     return picked.append_column("a", pa.array(a.astype(np.int32))).append_column("z", pa.array(z.astype(np.int32)))
 
 
-def repeated_spans(rows: DataFrame, scratch: Scratch, length: int = LENGTH, slice_size: int = SLICE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Per rid the lists of first and one past the last byte of what repeats; rows: rid, text."""
-    seen = _anchored(rows, length).withColumn("times", F.size("lo").cast("long"))
+def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, slice_size: int = SLICE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Per text (r1, r2) the lists of first and one past the last byte of what repeats; docs: text."""
+    seen = _anchored(docs, length).withColumn("times", F.size("lo").cast("long"))
     met = seen.groupBy("anchor").agg(F.sum("times").alias("total")).where("total > 1").select("anchor")
-    kept = scratch.keep(seen.join(met, "anchor"), release=True)
-    distinct = scratch.keep(kept.groupBy("anchor", "segment").agg(F.sum("times").alias("times"), F.first("windows").alias("windows"), F.min(F.struct("rid", F.col("lo")[0].alias("lo"))).alias("at")), release=True)
+    kept = scratch.keep(seen.join(met, "anchor"))
+    distinct = scratch.keep(kept.groupBy("anchor", "segment").agg(F.sum("times").alias("times"), F.first("windows").alias("windows"), F.min(F.struct("r1", "r2", F.col("lo")[0].alias("lo"))).alias("at")))
     mixed = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.col("windows") + (length - 1)).alias("bytes")).where("kinds > 1")
     total = mixed.agg(F.sum(F.col("bytes") * F.ceil(F.col("kinds") / slice_size))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     picks = distinct.join(mixed.select("anchor", F.ceil(F.col("kinds") / slice_size).alias("slices")), "anchor")
     picks = picks.withColumn("own", F.expr("pmod(segment, slices)")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
-    picks = picks.select("anchor", "segment", "times", "windows", "at.rid", "at.lo", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"))
+    picks = picks.select("anchor", "segment", "times", "windows", "at.r1", "at.r2", "at.lo", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"))
     picks = picks.withColumn("shard", F.expr(f"pmod(xxhash64(anchor, i, j), {shards}L)"))
-    listed = picks.groupBy("rid").agg(F.collect_list(F.struct("anchor", "segment", "times", "windows", "lo", "i", "j", "second", "shard")).alias("picks"))
-    parts = _sharded(rows.join(listed, "rid").select("text", "picks"), length)
+    listed = scratch.keep(picks.groupBy("r1", "r2").agg(F.collect_list(F.struct("anchor", "segment", "times", "windows", "lo", "i", "j", "second", "shard")).alias("picks")))
+    texts = sieve(_named(docs.where(F.octet_length("text") >= length)), listed, "r1").join(listed.select("r1", "r2"), ["r1", "r2"], "left_semi").groupBy("r1", "r2").agg(F.min("text").alias("text"))
+    parts = _sharded(texts.join(listed, ["r1", "r2"]).select("text", "picks"), length)
     found = parts.groupBy("shard").applyInArrow(lambda t: repeated_windows(t, length), "anchor long, segment long, a int, z int")
     whole = distinct.where("times > 1").select("anchor", "segment", F.lit(0).alias("a"), F.col("windows").alias("z"))
     single = distinct.where("times = 1").select("anchor", "segment")
-    runs = scratch.keep(whole.unionByName(found.join(single, ["anchor", "segment"])), release=True)
-    spans = kept.join(runs, ["anchor", "segment"]).select("rid", F.explode("lo").alias("lo"), "a", "z")
-    spans = spans.groupBy("rid").agg(F.collect_list(F.struct((F.col("lo") + F.col("a")).alias("start"), (F.col("lo") + F.col("z") + (length - 1)).alias("end"))).alias("spans"))
-    return spans.select("rid", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
+    runs = scratch.keep(whole.unionByName(found.join(single, ["anchor", "segment"])))
+    scratch.drop(3)
+    spans = kept.join(runs, ["anchor", "segment"]).select("r1", "r2", F.explode("lo").alias("lo"), "a", "z")
+    # copies of a text have the same spans
+    spans = spans.groupBy("r1", "r2").agg(F.collect_set(F.struct((F.col("lo") + F.col("a")).alias("start"), (F.col("lo") + F.col("z") + (length - 1)).alias("end"))).alias("spans"))
+    return scratch.keep(spans.select("r1", "r2", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends")))
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -326,8 +350,8 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", slice_size: int = SLICE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Each row's id, n_bytes, n_removed, n_spans, the removed runs, and the bytes kept."""
     scratch = Scratch(docs.sparkSession, "suffix")
-    rows = scratch.keep(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")))
-    spans = repeated_spans(rows, scratch, length, slice_size, shard_bytes)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    spans = repeated_spans(rows.select("text"), scratch, length, slice_size, shard_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -349,5 +373,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.compute.add(n, gone), gone, sizes, pa.array(first, kind), pa.array(last, kind), pa.array(kept, pa.binary())], [id_col, "n_bytes", "n_removed", "n_spans", "starts", "ends", "kept"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    joined = rows.join(spans, "rid", "left").select("id", "text", "starts", "ends")
+    none = F.lit(None).cast("array<int>")
+    rows = marked(_named(rows), spans, "r1", "may")
+    joined = rows.where("may").join(spans, ["r1", "r2"], "left").select("id", "text", "starts", "ends")
+    joined = joined.unionByName(rows.where("not may").select("id", "text", none.alias("starts"), none.alias("ends")))
     return joined.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, starts array<int>, ends array<int>, kept binary")
