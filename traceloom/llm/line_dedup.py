@@ -1,13 +1,12 @@
 """Removal of line blocks that a document shares with an earlier one.
 
-Documents are ordered by id.  For each line of some length the first holder, the
-earliest document with it, is found by an aggregation; every later document with that
-line is paired with the first holder.  A line that n documents share thus gives n - 1
-pairs, so common lines need no cap, and a document has at most as many partners as
-lines.  A line that its first holder leaves in place, out of order or in a further copy,
-meets its next earlier holders, twice as many in each round, until one aligns it or all
-have been tried.  Runs of shorter lines count as a line: from each line on, as many as
-make a block that is deleted, so that every such block has a holder.
+Documents are ordered by id.  A rare line, of some length and in at most ``RARE`` places,
+brings each two of its holders together.  A more common line pairs every later holder with
+the first one, found by an aggregation, so it gives n - 1 pairs and needs no cap.  A line
+that its first holder leaves in place, out of order or in a further copy, meets its next
+earlier holders, twice as many in each round, until one aligns it or all have been tried.
+Runs of shorter lines count as a line: from each line on, as many as make a block that is
+deleted, so that every such block has a holder.
 
 A pair is aligned by patience diff: lines met once in either document, in the longest
 common order, are anchors; the gaps between them are aligned in the same way, and
@@ -22,7 +21,7 @@ Defined results
 * ties: equal ids are ordered by a hash of the text; rows equal in id and text are one
   document and get the same result, each row once;
 * null ids come after all others;
-* empty table: no rows; further columns are carried along unchanged.
+* empty table: no rows; further columns are carried along unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,13 +35,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceloom.llm.scratch import Scratch
+from traceloom.llm.scratch import Scratch, free_name
 from traceloom.llm.textcore import mix
 
 #: Characters of a line that can bring two documents together by itself.
 MIN_LINE = 20
 #: Characters of an aligned block that is deleted.
 MIN_BLOCK = 20
+#: Places of a line that is rare.
+RARE = 4
 #: Bits held while a gap is aligned; larger gaps are halved.
 MAX_BITS = 1 << 28
 
@@ -224,10 +225,14 @@ def shared_blocks(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch,
     placed = lines.select("doc", F.posexplode(F.arrays_zip("hashes", "sizes")).alias("at", "l")).where(F.col("l.sizes") >= min_line).select("doc", "at", F.lit(1).alias("n"), F.col("l.hashes").alias("line"))
     placed = placed.unionAll(scratch.keep(lines.select("doc", "hashes", "sizes").mapInArrow(runs, f"doc {kind}, at int, n int, line long")))
     held = placed.select("doc", "line")
-    first = held.groupBy("line").agg(F.min("doc").alias("early"), F.count("*").alias("times")).where("times > 1").drop("times")
-    gone = scratch.keep(aligned(held.join(first, "line").where("early < doc").select("doc", "early").distinct()))
+    first = held.groupBy("line").agg(F.min("doc").alias("early"), F.count("*").alias("times")).where("times > 1")
+    met = held.join(first, "line")
+    rare = met.where(F.col("times") <= RARE).select("line", "doc")
+    both = rare.join(rare.withColumnRenamed("doc", "early"), "line").where("early < doc").select("doc", "early")  # at most RARE * (RARE - 1) / 2 a line
+    pairs = met.where((F.col("times") > RARE) & (F.col("early") < F.col("doc"))).select("doc", "early").unionByName(both)
+    gone = scratch.keep(aligned(pairs.distinct()))
     # what the first holders leave; holders are numbered only for lines among it
-    left = placed.join(first, "line").where("early < doc").select("doc", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("at"), "line").join(gone, ["doc", "at"], "left_anti")
+    left = placed.join(first.drop("times"), "line").where("early < doc").select("doc", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("at"), "line").join(gone, ["doc", "at"], "left_anti")
     left = scratch.keep(left)
     ranked = held.join(left.select("line").distinct(), "line", "left_semi").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("line").orderBy("doc")) - 1)
     ranked = scratch.keep(ranked)
@@ -244,13 +249,19 @@ def shared_blocks(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch,
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_line: int = MIN_LINE, min_block: int = MIN_BLOCK) -> DataFrame:
-    """The rows of docs with shared lines deleted from their texts, and n_lines and n_removed."""
+    """The rows of docs with shared lines deleted from their texts, and two more columns: lines, and lines deleted.
+
+    These are the last ones, __n_lines and __n_removed unless docs has such names.
+    """
     scratch = Scratch(docs.sparkSession, "lines")
-    gone = shared_blocks(docs, id_col, text_col, scratch, min_line, min_block).select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("gone").alias("__gone"))
-    out = docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(f"`{text_col}`") == F.col("__mark")), "left")
-    lines = F.split(F.col(f"`{text_col}`"), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col(f"`{text_col}`")).otherwise(kept)
-    columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    n_lines = F.coalesce(F.when(F.col(f"`{text_col}`") != "", F.size(lines)), F.lit(0)).cast("long")
-    return out.select(*columns, n_lines.alias("__n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__n_removed"))
+    gone = shared_blocks(docs, id_col, text_col, scratch, min_line, min_block).select(F.col("id").alias("gone_id"), "mark", "gone")
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}  # names of docs cannot clash with others
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    text = F.col(names[text_col])
+    out = rows.join(gone, F.col(names[id_col]).eqNullSafe(F.col("gone_id")) & (F.xxhash64(text) == F.col("mark")), "left")
+    lines = F.split(text, "\n", -1)
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    text = F.when(F.col("gone").isNull(), text).otherwise(kept)
+    columns = [(text if c == text_col else F.col(n)).alias(c) for c, n in names.items()]
+    n_lines = F.coalesce(F.when(F.col(names[text_col]) != "", F.size(lines)), F.lit(0)).cast("long")
+    return out.select(*columns, n_lines.alias(free_name(docs, "__n_lines")), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(free_name(docs, "__n_removed")))

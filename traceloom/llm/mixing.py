@@ -17,7 +17,8 @@ Defined results
 * null or empty text: no tokens; its cell may have none, then its weight is 0 and it is not sampled;
 * null id: hashed as the empty text; rows with one id share one random number;
 * repeated rows count each; empty table: no rows;
-* further columns are kept by ``sample_documents`` and ignored by ``mixing_weights``.
+* margins that no weights can meet at once (cells are missing): raking ends after ``ROUNDS``;
+* further columns are kept by ``sample_documents``, whatever their names, and ignored by ``mixing_weights``.
 """
 
 from __future__ import annotations
@@ -29,9 +30,13 @@ from traceloom.llm.scratch import Scratch
 
 #: Powers of the margins' token shares.
 POWERS = {"source": 0.7, "lang": 0.8, "topic": 1.0}
-ROUNDS = 8
+#: Largest relative deviation of a margin from its target at which raking ends, and rounds after which it ends anyway.
+TOLERANCE = 1e-9
+ROUNDS = 64
 #: Rounds between two written tables.
 CUT = 4
+#: Rounds of the SQL form, which cannot stop by itself.
+SQL_ROUNDS = 24
 #: Tokens to sample, as a share of all tokens; None for the largest share without a weight above 1.
 BUDGET = 1.0
 #: Characters of a token, on average.
@@ -64,45 +69,52 @@ def raked_cells(cells: DataFrame, scratch: Scratch, powers: dict[str, float] = P
     for k in range(rounds):
         for m in _MARGINS:
             out = out.withColumn("share", F.col("share") * F.col(f"goal_{m}") / F.sum("share").over(Window.partitionBy(m)))
-        if (k + 1) % CUT == 0:
+        if (k + 1) % CUT == 0 or k + 1 == rounds:
             out = scratch.keep(out)
+            if deviation(out) <= TOLERANCE:
+                break
     return out.select(*_MARGINS, "tokens", "share")
 
 
+def deviation(cells: DataFrame) -> float:
+    """The largest relative deviation of a margin from its target."""
+    most = [cells.groupBy(m).agg(F.sum("share").alias("s"), F.max(f"goal_{m}").alias("goal")).select(F.abs(F.col("s") / F.col("goal") - 1).alias("d")) for m in _MARGINS]
+    return most[0].unionByName(most[1]).unionByName(most[2]).agg(F.max("d")).first()[0] or 0.0
+
+
 def weighted(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, budget: float | None = BUDGET, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with __source, __lang, __topic, __tokens, __weight, __sampled and __copies."""
+    """A row for each of docs: the row as a struct, source, lang, topic, tokens, weight, sampled and copies."""
     scratch = Scratch(docs.sparkSession, "mixing")
     text = F.col(f"`{text_col}`")
     empty = lambda c: F.coalesce(F.col(f"`{c}`"), F.lit(""))
-    rows = docs.withColumns({"__source": empty("source"), "__lang": empty("lang"), "__topic": topic_of(text), "__tokens": tokens_of(text)})
-    cells = rows.groupBy(*(F.col(f"__{m}").alias(m) for m in _MARGINS)).agg(F.sum("__tokens").alias("tokens"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), empty("source").alias("source"), empty("lang").alias("lang"), topic_of(text).alias("topic"), tokens_of(text).alias("tokens"))
+    cells = rows.groupBy(*_MARGINS).agg(F.sum("tokens").alias("tokens"))
     cells = raked_cells(cells, scratch, powers, rounds)
     total = cells.agg(F.sum("tokens").alias("all"), F.max(F.col("share") / F.col("tokens")).alias("top"))
     weight = F.col("share") / F.col("tokens") / F.col("top") if budget is None else F.col("share") * F.col("all") * F.lit(budget) / F.col("tokens")
-    rates = scratch.keep(cells.crossJoin(F.broadcast(total)).select(*(F.col(m).alias(f"__{m}") for m in _MARGINS), weight.alias("__weight")))
-    out = rows.join(rates, [f"__{m}" for m in _MARGINS], "left").withColumn("__weight", F.coalesce("__weight", F.lit(0.0)))
-    digest = F.md5(F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
+    rates = scratch.keep(cells.crossJoin(F.broadcast(total)).select(*_MARGINS, weight.alias("weight")))
+    out = rows.join(rates, _MARGINS, "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    digest = F.md5(F.concat(F.coalesce(F.col(f"row.`{id_col}`").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
     draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
-    whole = F.floor("__weight")
-    return out.withColumns({"__sampled": draw < F.col("__weight"), "__copies": (whole + (draw < F.col("__weight") - whole).cast("long")).cast("int")})
+    whole = F.floor("weight")
+    return out.withColumns({"sampled": draw < F.col("weight"), "copies": (whole + (draw < F.col("weight") - whole).cast("long")).cast("int")})
 
 
 def mixing_weights(docs: DataFrame, **options) -> DataFrame:
     """Each row's id, margins, tokens, weight (expected epochs), and whether it is sampled."""
-    out = weighted(docs, **options)
     id_col = options.get("id_col", "doc_id")
-    return out.select(F.col(f"`{id_col}`").alias(id_col), F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"), F.round("__weight", 6).alias("weight"), F.col("__sampled").alias("sampled"))
+    return weighted(docs, **options).select(F.col(f"row.`{id_col}`").alias(id_col), *_MARGINS, "tokens", F.round("weight", 6).alias("weight"), "sampled")
 
 
 def sample_documents(docs: DataFrame, repeats: bool = False, **options) -> DataFrame:
     """The sampled rows, with the columns of docs: once each, or with repeats as often as drawn."""
-    out = weighted(docs, **options).where("__sampled")
+    out = weighted(docs, **options).where("sampled")
     if repeats:
-        out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+        out = out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return out.select("row.*")
 
 
-def oracle(source: str = "documents", powers: dict[str, float] = POWERS, rounds: int = ROUNDS, budget: float = BUDGET, seed: int = SEED) -> str:
+def oracle(source: str = "documents", powers: dict[str, float] = POWERS, rounds: int = SQL_ROUNDS, budget: float = BUDGET, seed: int = SEED) -> str:
     """The same as DuckDB SQL, one step per margin and round."""
     goal = lambda m: f"g_{m} AS (SELECT {m}, power(sum(tokens), {powers[m]}) / sum(power(sum(tokens), {powers[m]})) OVER () AS goal FROM c GROUP BY {m})"
     steps, last = [], "s0"

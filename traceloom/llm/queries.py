@@ -46,7 +46,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from traceloom.llm.line_dedup import dedup_lines
 
     out = dedup_lines(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), "text", "lang", "source", "n_chars")
+    n_lines, n_removed = out.columns[-2:]
+    return out.select("doc_id", F.col(n_lines).alias("n_lines"), F.col(n_removed).alias("n_removed"), "text", "lang", "source", "n_chars")
 
 
 def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:

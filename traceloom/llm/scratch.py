@@ -39,6 +39,13 @@ def sieve(df: DataFrame, members: DataFrame, key: str) -> DataFrame:
     return marked(df, members, key, "_sieve_may").where("_sieve_may").drop("_sieve_may")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or with more underscores if df has such a column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
