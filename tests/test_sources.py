@@ -69,11 +69,11 @@ def test_store_is_whole_or_nothing(spark, files, tmp_path):
 
 def test_expressions(spark):
     row = spark.range(1).select(
-        E.clock_ns(F.lit("01:02.003.004")).alias("clock"), E.clock_ns(F.lit("soon")).alias("none"), E.shown_cell(F.lit("GET /\nAuthorization: Bearer abc\nHost: x")).alias("secret"), E.format_bytes(F.lit(1536)).alias("bytes"), E.format_ns(F.lit(2_500_000)).alias("ns"),
+        E.clock_ns(F.lit("01:02.003.004")).alias("clock"), E.clock_ns(F.lit("soon")).alias("none"), E.shown_cell(F.lit("(Authorization : Bearer abc), (Host : x), ( api-key:s3cret)"), "request-headers").alias("secret"), E.shown_cell(F.lit("a (cookie : chocolate) and milk"), "message").alias("prose"), E.format_bytes(F.lit(1536)).alias("bytes"), E.format_ns(F.lit(2_500_000)).alias("ns"),
         E.format_count(F.lit(1234567)).alias("count"), E.percent(F.lit(1), F.lit(0)).alias("nothing"), E.trailing_number(F.lit("Display 12 ")).alias("number"), E.chain(F.lit("a ← b, c")).alias("chain"), E.snippet(F.lit("x" * 81)).alias("snippet"),
     ).first()
     assert row["clock"] == 62_003_004_000 and row["none"] is None
-    assert "abc" not in row["secret"] and "Host: x" in row["secret"]
+    assert row["secret"] == "(Authorization : [REDACTED]), (Host : x), (api-key : [REDACTED])" and row["prose"] == "a (cookie : chocolate) and milk"
     assert (row["bytes"], row["ns"], row["count"], row["nothing"], row["number"]) == ("1.50 KB", "2.50 ms", "1,234,567", 0.0, 12.0)
     assert row["chain"] == ["a", "b", "c"] and len(row["snippet"]) == 81
 

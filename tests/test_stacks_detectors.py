@@ -100,11 +100,34 @@ def test_hitch_sweeps_use_the_frame_budget(spark):
     assert X.near_miss_sweep(c) and not X.outlier_sweep(c)
     c = Catalog([_hitches(spark, [20.0] * 6 + [40.0] * 2)])
     assert X.outlier_sweep(c) and not X.near_miss_sweep(c)
+    c.add(Table("unused", c.get("hitches").df, []))
+    c = Catalog([_hitches(spark, [10.0] * 8 + [40.0])])
+    found = X.near_miss_sweep(c)  # one long hitch does not silence it
+    assert found and found.row == 0 and found.detail["closest_ms"] == 10.0
     display = spark.createDataFrame([(0, "1", 120, "Yes"), (1, "2", 60, "No")], f"{ROW} long, `display-id` string, `max-refresh-rate` long, `is-main-display` string")
     c.add(Table("device-display-info", display, [Column("display-id", "uint64"), Column("max-refresh-rate", "uint32"), Column("is-main-display", "boolean")]))
     assert X.frame_budget_ms(c) == pytest.approx(1000 / 120) and X.frame_budget_ms(c, "Display 2") == pytest.approx(1000 / 60)
 
 
+def test_cadence_of_swaps(spark):
+    ticks = spark.createDataFrame([(t,) for t in range(0, 130, 10)], "tick long")
+    swaps = spark.createDataFrame([(31, 10), (40, 30), (70, 10), (80, 10), (200, 10), (90, None)], "swap long, shown long")
+    out = {r["tick"]: r for r in X.cadence_table(ticks, swaps, "tick", "swap", "shown", 10, 50, 80).collect()}
+    assert sorted(out) == list(range(30, 101, 10))
+    assert [out[t]["status"] for t in range(30, 101, 10)] == ["normal", "3 frames held (2 dropped)", "no new frame", "no new frame", "recovery swap", "normal", "idle", "idle"]
+    assert out[40]["frames"] == 3 and out[50]["frames"] is None
+
+
+def test_names_that_hold_the_separator_stay_in_the_tree(spark):
+    frame = "array<struct<name:string,binary:string>>"
+    rows = [(0, [("leaf", None), ("operator > (A)", None), ("main", None)], 5), (1, [("leaf", None), ("main", None)], 1)]
+    df = spark.createDataFrame(rows, f"{ROW} long, stack {frame}, weight long")
+    t = Table("time-sample", df, [Column("stack", "backtrace"), Column("weight", "cycle-weight")])
+    names = {(r["depth"], r["name"]): r["total_weight"] for r in S.fold(t, weight="weight").tree().collect()}
+    assert names == {(1, "main"): 6.0, (2, "operator > (A)"): 5.0, (3, "leaf"): 5.0, (2, "leaf"): 1.0}
+    assert [s["name"] for s in S.fold(t, weight="weight").spine(full=True)] == ["main", "operator > (A)", "leaf"]
+
+
 def test_failing_detector_does_not_hide_others(spark):
     broken = Table("SwiftActorQueueSize", spark.createDataFrame([(0,)], f"{ROW} long"), [])
     found, failed = X.run_detectors(Catalog([broken, _updates(spark, 101, 500_000, 2_000_000)]))

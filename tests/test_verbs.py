@@ -34,7 +34,7 @@ def test_roles(table):
     assert roles.classify("model-request-id", "string").role == "detail"
     assert roles.classify("total-tokens", "string").unit == "count"
     assert roles.classify("main-thread", "boolean").role == "detail"
-    assert roles.facts("string").categorical and not roles.facts("size-in-bytes").categorical
+    assert roles.facts("string").categorical and not roles.facts("size-in-bytes").categorical and not roles.facts("bit-rate").categorical and roles.facts("row-number").categorical
     assert roles.max_sentinel("start-time") == 2**50 - 1 and roles.max_sentinel("event-count") is None
 
 
@@ -161,3 +161,46 @@ def test_catalog_positions(spark, table):
 def test_overlap_includes_both_ends(spark, table):
     assert ids(Q.query(table.where(R.overlap_rows(table, 15, 20)), [], limit=0)) == [0, 1, 2]
     assert P.number_text(5.0) == "5"
+
+
+def test_row_index_over_many_partitions(spark):
+    from traceloom.model import with_row_index
+
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        df = spark.range(0, 60000, 1, 7).selectExpr("(id * 7919) % 60000 AS k", "repeat('x', 40) AS wide", "id % 3 AS _row_place")
+        out = with_row_index(df, "k")
+        assert out.where("k = _row_idx").count() == 60000 and out.columns == ["k", "wide", "_row_place", "_row_idx"]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_filters_reach_the_scan(spark):
+    from traceloom import testdata as D
+    from traceloom.operators import rows as Q
+
+    def pushed(df):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        return text[text.index("PushedFilters") :].split("\n")[0]
+
+    sf = "/root/testdata/sf0.001"
+    a = pushed(Q.query(D.lineitems(spark, sf), ["price"], filter={"flag": "R", "line": 3}, limit=0))
+    assert "EqualTo(l_returnflag,R)" in a and "EqualTo(l_linenumber,3)" in a
+    b = pushed(Q.find(D.lineitems(spark, sf), [{"field": "quantity", "op": "gte", "val": 10}], limit=0))
+    assert "GreaterThanOrEqual(l_quantity,10.0)" in b
+    c = pushed(Q.query(D.events(spark, sf), ["kind"], start=1_704_067_200 * 10**9, end=1_704_153_600 * 10**9, limit=0))
+    assert "GreaterThanOrEqual(ts," in c and "LessThanOrEqual(ts," in c
+
+
+def test_neighbours_of_64_bit_numbers_differ(spark):
+    from traceloom.model import ROW, Column, Table
+    from traceloom.operators import rows as Q
+
+    big = 1_704_067_200_000_000_001
+    df = spark.createDataFrame([(i, big + i, str(big + i)) for i in range(3)], f"{ROW} long, t long, s string")
+    t = Table("x", df, [Column("t", "uint64"), Column("s", "string")])
+    assert [Q.query(t, ["t"], filter={c: big}).count() for c in ("t", "s")] == [1, 1]
+    assert Q.find(t, [{"field": "t", "op": "ne", "val": big}]).count() == 2

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 CELL_CHARS = 2000
 SNIPPET_CHARS = 80
 # Header names whose values are hidden in shown cells.
-SECRET_HEADERS = ["authorization", "cookie", "set-cookie", "proxy-authorization", "x-api-key"]
+SECRET_HEADERS = ["authorization", "proxy-authorization", "cookie", "set-cookie", "x-api-key", "api-key", "x-auth-token", "x-access-token", "x-session-token"]
 
 
 def _fixed(c: Column, digits: int = 2) -> Column:
@@ -50,10 +50,13 @@ def clock_ns(c: Column) -> Column:
     return F.when(c.rlike(form), total)
 
 
-def shown_cell(c: Column, limit: int = CELL_CHARS) -> Column:
-    """Values of secret headers hidden, then cut with a note of the full length."""
+def shown_cell(c: Column, name: str = "", limit: int = CELL_CHARS) -> Column:
+    """Values of secret headers hidden, then cut with a note of the full length.
+
+    Headers are pairs "(name : value)" in columns with header in their name; other text stays.
+    """
     names = "|".join(re.escape(h) for h in SECRET_HEADERS)
-    safe = F.regexp_replace(c, rf"(?i)\b({names})(\"?\s*[:=]\s*\"?)[^\r\n\",;]+", "$1$2[redacted]")
+    safe = F.regexp_replace(c, rf"\(\s*((?i:{names}))\s*:[^()]*\)", "($1 : [REDACTED])") if "header" in name.lower() else c
     return F.when(F.length(safe) > limit, F.concat(F.substring(safe, 1, limit), F.lit("… [truncated — "), F.length(safe).cast("string"), F.lit(" chars total]"))).otherwise(safe)
 
 

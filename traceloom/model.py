@@ -71,12 +71,12 @@ class Table:
             raise TableError(f"unknown column {name!r} of {self.schema}; it has {', '.join(self.names())}")
         if compare and self.is_stack(name):
             raise TableError(f"{name!r} holds call stacks, which cannot be compared, sorted or grouped")
-        if compare and isinstance(_at(self.df.schema, name), T.StructType) and f"{name}__fmt" not in self.df.columns:
+        if compare and isinstance(column_type(self.df.schema, name), T.StructType) and f"{name}__fmt" not in self.df.columns:
             raise TableError(f"{name!r} is a compound; take one of its fields")
         return name
 
     def raw(self, name: str) -> Expr:
-        if isinstance(_at(self.df.schema, name), T.StructType):  # a compound counts as its summary
+        if isinstance(column_type(self.df.schema, name), T.StructType):  # a compound counts as its summary
             return F.col(f"`{name}__fmt`")
         return F.col(".".join(f"`{p}`" for p in name.split(".")))
 
@@ -118,7 +118,7 @@ def _paths(head: str, kind: T.StructType) -> list[str]:
     return out
 
 
-def _at(schema: T.StructType, path: str) -> T.DataType | None:
+def column_type(schema: T.StructType, path: str) -> T.DataType | None:
     kind: T.DataType = schema
     for part in path.split("."):
         if not isinstance(kind, T.StructType) or part not in kind.names:
@@ -166,14 +166,24 @@ class Catalog:
 def with_row_index(df: DataFrame, *order: str) -> DataFrame:
     """df with a dense _row_idx in the order given, without gathering rows in one task.
 
-    Rows are range-partitioned; each partition numbers its own rows, and the counts of
-    the partitions before give the offset.
+    The range-partitioned, sorted rows are written once to the shared folder, numbered within
+    their partitions.  Counts and rows are both read from there, so the offsets fit even
+    if the sort would come out otherwise when it is run again, or partitions are merged.
     """
+    import uuid
+
     from pyspark.sql import Window
 
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    counts = parts.groupBy("__part").count()
-    before = counts.withColumn("__before", F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)))  # a row per partition
-    before = before.select("__part", F.coalesce("__before", F.lit(0)).alias("__before"))
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return parts.withColumn("__own", own).join(F.broadcast(before), "__part").withColumn(ROW, (F.col("__own") + F.col("__before")).cast("long")).drop("__part", "__own", "__before")
+    spark, place = df.sparkSession, "_row_place"
+    while place in df.columns:
+        place = f"_{place}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    path = f"{root.rstrip('/')}/row-index-{uuid.uuid4().hex}"
+    df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(place, F.monotonically_increasing_id()).write.parquet(path)
+    stored = spark.read.schema(T.StructType([*df.schema.fields, T.StructField(place, T.LongType())])).parquet(path)
+    part, own = F.expr(f"shiftright({place}, 33)"), F.expr(f"{place} & {(1 << 33) - 1}L")
+    counts = stored.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row per partition
+    at = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
+    out = stored.select(at, part.alias("_part"), own.alias("_own")).join(F.broadcast(before), "_part")
+    return out.select("_row.*", (F.col("_own") + F.col("_before")).cast("long").alias(ROW))

@@ -22,6 +22,8 @@ HIGH, MEDIUM = 5.0, 2.0
 DEFAULT_BUDGET_MS = 1000 / 60
 MIN_ROWS = 5
 EAGER = 4
+#: Ticks and swaps that are looked at around a window.
+CADENCE_ROWS = 64
 
 
 @dataclass
@@ -68,9 +70,9 @@ def peak_total(df: DataFrame, order: str, row: str, size: str) -> DataFrame:
 
 
 def band_counts(df: DataFrame, value: str, low: float, high: float, strict: bool = True) -> DataFrame:
-    """Rows over low, rows over high, rows from low to high, and the largest value."""
+    """Rows over low, rows over high, rows from low to high, and the largest value, of all and of those between."""
     v = F.col(value)
-    return df.where(v.isNotNull()).agg(F.count("*").alias("n"), F.count_if(v > low).alias("over_low"), F.count_if(v > high if strict else v >= high).alias("over_high"), F.count_if((v >= low) & (v <= high)).alias("between"), F.max(v).alias("worst"))
+    return df.where(v.isNotNull()).agg(F.count("*").alias("n"), F.count_if(v > low).alias("over_low"), F.count_if(v > high if strict else v >= high).alias("over_high"), F.count_if((v >= low) & (v <= high)).alias("between"), F.max(v).alias("worst"), F.max(F.when((v >= low) & (v <= high), v)).alias("worst_between"))
 
 
 def contained(a: DataFrame, b: DataFrame, start: str, duration: str, time: str, row: str, exists: bool = True) -> DataFrame:
@@ -137,7 +139,7 @@ def body_in_runloop(c: Catalog) -> Finding | None:
 def caching_miss(c: Catalog) -> Finding | None:
     t = c.get("ModelInferenceTable")
     total, cached = (t.raw(n).cast("string").try_cast("double") for n in ("total-tokens", "cached-tokens"))
-    r = t.df.where(total > 32).agg(F.count("*").alias("n"), F.count_if(F.coalesce(cached, F.lit(0)) == 0).alias("misses")).first()
+    r = t.df.where(total > 32).agg(F.count("*").alias("n"), F.count_if(cached == 0).alias("misses")).first()
     if r["n"] and r["misses"] > 10 and r["misses"] / r["n"] > 0.5:
         return Finding("fm-prompt-caching-miss", [("misses", r["misses"], 10), ("miss rate", r["misses"] / r["n"], 0.5)])
     return None
@@ -155,22 +157,32 @@ def outlier_sweep(c: Catalog) -> Finding | None:
     b = frame_budget_ms(c)
     r = band_counts(rows, "ms", b, 2 * b).first()
     fired = [(n, v, t) for n, v, t in (("over budget", r["over_low"], 5), ("over twice the budget", r["over_high"], 1)) if r["n"] >= MIN_ROWS and v > t]
-    return Finding("outlier-sweep", fired) if fired else None
+    return Finding("outlier-sweep", fired, worst_row(rows, "ms")) if fired else None
+
+
+def worst_row(rows: DataFrame, value: str) -> int | None:
+    """The row with the largest value, the first of equals."""
+    found = rows.agg(F.max_by(ROW, F.struct(F.col(value), -F.col(ROW))).alias("row")).first()
+    return found["row"]
 
 
 def near_miss_sweep(c: Catalog) -> Finding | None:
     _, rows = _app_hitches(c)
     b = frame_budget_ms(c)
     r = band_counts(rows, "ms", 0.5 * b, b).first()
-    return Finding("near-miss-sweep", [("near misses", r["between"], 5)]) if r["n"] >= MIN_ROWS and r["between"] > 5 and r["worst"] <= b else None
+    if r["n"] < MIN_ROWS or r["between"] <= 5:
+        return None
+    row = worst_row(rows.where(F.col("ms").between(0.5 * b, b)), "ms")
+    return Finding("near-miss-sweep", [("near misses", r["between"], 5)], row, {"closest_ms": r["worst_between"], "budget_ms": b})
 
 
 def render_hitch_sweep(c: Catalog) -> Finding | None:
     t = c.get("hitches-renders")
     base = render_baseline_ms(c)
-    r = band_counts(t.df.select((_ns(t) / 1e6).alias("ms")), "ms", base, 2 * base, strict=False).first()
-    fired = [(n, v, k) for n, v, k in (("over the baseline", r["over_low"], 5), ("twice the baseline", r["over_high"], 1)) if v > k]
-    return Finding("render-hitch-sweep", fired) if fired else None
+    rows = t.df.select(ROW, (_ns(t) / 1e6).alias("ms"))
+    r = band_counts(rows, "ms", base, 2 * base, strict=False).first()
+    fired = [(n, v, k) for n, v, k in (("over the baseline", r["over_low"], 5), ("twice the baseline", r["over_high"], 1)) if r["n"] >= MIN_ROWS and v > k]
+    return Finding("render-hitch-sweep", fired, worst_row(rows, "ms")) if fired else None
 
 
 def qos_mismatch(c: Catalog) -> Finding | None:
@@ -248,21 +260,25 @@ def render_baseline_ms(c: Catalog) -> float:
     return ((depth or 2) - 1) / 2 * frame_budget_ms(c)
 
 
-def cadence_table(ticks: DataFrame, swaps: DataFrame, tick: str, swap: str, cadence: int, start: int, end: int) -> DataFrame:
-    """Each tick around a window and what was shown: a new frame, one held for k ticks, a recovery, or nothing new.
+def cadence_table(ticks: DataFrame, swaps: DataFrame, tick: str, swap: str, shown: str, cadence: int, start: int, end: int) -> DataFrame:
+    """Each tick from two cadences before a window to two after it, and what was shown.
 
-    ticks and swaps have one time column each; a swap belongs to the first tick within half a cadence.
+    A swap within half a cadence of the tick holds as many frames as its time on screen has
+    cadences; several are drops, and the next swap with one is the recovery.  Without a swap
+    the frame before is still shown, or nothing is.  ticks: tick; swaps: swap, shown (time on screen).
     """
-    near = ticks.where(F.col(tick).between(start - 2 * cadence, end + 2 * cadence)).orderBy(tick).limit(64)
-    half = cadence // 2
-    met = containing(near.withColumn("__from", F.col(tick) - half).withColumn("__span", F.lit(2 * half).cast("long")), swaps, "__from", "__span", swap).groupBy(tick).agg(F.min(swap).alias("first_swap"))
-    rows = near.join(met, tick, "left")
-    w = Window.orderBy(tick)  # at most 64 rows
-    last = F.last(F.when(F.col("first_swap").isNotNull(), F.col(tick)), ignorenulls=True)
-    held = F.round((F.col(tick) - last.over(w)) / cadence).cast("int")
-    gap = F.round((F.col(tick) - last.over(w.rowsBetween(Window.unboundedPreceding, -1))) / cadence).cast("int")
-    kind = F.when(F.col("first_swap").isNotNull(), F.when(gap > 1, F.lit("recovery")).otherwise(F.lit("normal"))).when(held.isNull(), F.lit("idle")).when(held > 1, F.concat(F.lit("held "), held.cast("string"), F.lit(" frames"))).otherwise(F.lit("no new frame"))
-    return rows.select(tick, "first_swap", kind.alias("status"))
+    low, high = start - 2 * cadence, end + 2 * cadence
+    near = ticks.where(F.col(tick).between(low, high)).select(F.col(tick).alias("t")).orderBy("t").limit(CADENCE_ROWS)
+    held = swaps.where(F.col(swap).between(low - cadence, high)).select(F.col(swap).alias("s"), F.col(shown).alias("d")).where("d is not null").orderBy("s").limit(CADENCE_ROWS)
+    met = near.join(F.broadcast(held), (F.abs(F.col("s") - F.col("t")) <= cadence / 2) | (F.col("s") <= F.col("t")) & (F.col("t") < F.col("s") + F.col("d")), "left")  # both have at most 64 rows
+    own = F.abs(F.col("s") - F.col("t")) <= cadence / 2
+    rows = met.groupBy("t").agg(F.min(F.when(own, F.struct("s", "d"))).alias("own"), F.count("s").alias("covering"))
+    frames = F.greatest(F.lit(1), F.floor(F.col("own.d") / cadence + 0.5)).cast("int")
+    rows = rows.select("t", "own", "covering", F.when(F.col("own").isNotNull(), frames).alias("frames"))
+    before = F.last(F.when(F.col("own").isNotNull(), F.col("frames") > 1), ignorenulls=True).over(Window.orderBy("t").rowsBetween(Window.unboundedPreceding, -1))  # at most 64 rows
+    text = F.concat(F.col("frames").cast("string"), F.lit(" frames held ("), (F.col("frames") - 1).cast("string"), F.lit(" dropped)"))
+    note = F.when(F.col("frames") > 1, text).when(F.col("own").isNotNull(), F.when(F.coalesce(before, F.lit(False)), F.lit("recovery swap")).otherwise(F.lit("normal"))).when(F.col("covering") > 0, F.lit("no new frame")).otherwise(F.lit("idle"))
+    return rows.select(F.col("t").alias(tick), F.col("own.s").alias("swap"), (F.col("own.d") / 1e6).alias("on_screen_ms"), "frames", note.alias("status"))
 
 
 DETECTORS: dict[str, tuple[list[str], Callable[[Catalog], Finding | None]]] = {

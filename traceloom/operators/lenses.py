@@ -57,16 +57,21 @@ def first_times(df: DataFrame, key: str, kind: str, time: str, marks: dict[str,
     return df.groupBy(key).agg(*(F.min(F.when(F.col(kind) == v, F.col(time))).alias(k) for k, v in marks.items()))
 
 
-def request_timing(table: Table, message: str = "message") -> DataFrame:
-    """Milliseconds before the first answer, while it is made, and in all, by request.
+def request_timing(table: Table, message: str = "message", request: str | None = None) -> DataFrame:
+    """By request the milliseconds before the first answer, while it is made, and in all, and its token counts.
 
-    Messages read a,b,request,kind...::{json}; the request is the third field.
+    Messages read tag,event,request,turn,session::{json}; the request is the third field, what
+    happened is the JSON's event.  Of several alike the first row counts.
     """
-    head = F.split(F.substring_index(table.fmt(message), "::", 1), ",")
-    rows = table.df.select(F.trim(F.get(head, F.lit(2))).alias("request"), F.trim(F.get(head, F.lit(1))).alias("kind"), table.raw(table.time_column()).alias("time"))
-    t = first_times(rows.where("request is not null and request != ''"), "request", "kind", "time", {"asked": "request_start", "began": "response_start", "done": "response_complete"})
+    text = table.fmt(message)
+    tail = F.substring(text, F.instr(text, "::") + 2, F.length(text))
+    rows = table.df.where(F.instr(text, "::") > 0).select(ROW, F.get(F.split(F.substring_index(text, "::", 1), ","), F.lit(2)).alias("request"), F.get_json_object(tail, "$.event").alias("event"), tail.alias("tail"), table.raw(table.time_column()).alias("time"))
+    rows = rows.where("request != ''" if request is None else F.col("request") == request)
+    first = lambda c, event: F.min_by(c, F.when(F.col("event") == event, F.col(ROW)))
+    t = rows.groupBy("request").agg(first("time", "request_start").alias("asked"), first("time", "response_start").alias("began"), first("time", "response_complete").alias("done"), first("tail", "response_complete").alias("tail"))
     ms = lambda a, b: ((F.col(b) - F.col(a)) / 1e6)
-    return t.select("request", ms("asked", "began").alias("prefill_ms"), ms("began", "done").alias("generation_ms"), ms("asked", "done").alias("total_ms"))
+    count = lambda c: F.get_json_object("tail", f"$.data.{c}").try_cast("double")
+    return t.select("request", ms("asked", "began").alias("prefill_ms"), ms("began", "done").alias("generation_ms"), ms("asked", "done").alias("total_ms"), count("cachedTokenCount").alias("cached_tokens"), count("consumedTokenCount").alias("consumed_tokens"), count("generatedTokenCount").alias("generated_tokens"), count("deltasCount").alias("deltas"))
 
 
 def list_updates(catalog: Catalog, schema: str, position: int, light: list[str] | None = None, **page) -> DataFrame:

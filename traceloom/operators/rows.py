@@ -89,7 +89,7 @@ def get_row(table: Table, index: int) -> DataFrame:
     """One row with all its cells as shown; an index out of bounds is an error."""
     if index < 0 or not table.df.where(F.col(ROW) == index).limit(1).count():
         raise TableError(f"{table.schema} has no row {index}")
-    return table.df.where(F.col(ROW) == index).select(F.col(ROW).alias("row_idx"), *(shown_cell(shown(table, c.mnemonic)).alias(c.mnemonic) for c in table.columns))
+    return table.df.where(F.col(ROW) == index).select(F.col(ROW).alias("row_idx"), *(shown_cell(shown(table, c.mnemonic), c.mnemonic).alias(c.mnemonic) for c in table.columns))
 
 
 def empty_note(table: Table, found: int) -> str | None:

@@ -50,27 +50,32 @@ class Folded:
         return self.stacks.agg(F.sum("weight")).first()[0] or 0.0
 
     def nodes(self) -> DataFrame:
-        """Every prefix of a stack: path, depth, parent, name, total and own weight, samples."""
+        """Every prefix of a stack: its shown path and parent, name, depth, total and own weight, samples, and both paths as arrays.
+
+        The arrays are the keys; the shown paths may be equal for names that hold the separator.
+        """
         up_to = F.explode(F.sequence(F.lit(1), F.size("path")))
         rows = self.stacks.select("path", "weight", "samples", up_to.alias("depth"))
         rows = rows.select(
-            F.array_join(F.slice("path", 1, F.col("depth")), SEPARATOR).alias("node"), F.array_join(F.slice("path", 1, F.col("depth") - 1), SEPARATOR).alias("parent"), F.element_at("path", F.col("depth")).alias("name"), "depth", "weight", "samples",
+            F.slice("path", 1, F.col("depth")).alias("key"), F.element_at("path", F.col("depth")).alias("name"), "depth", "weight", "samples",
             F.when(F.col("depth") == F.size("path"), F.col("weight")).otherwise(0.0).alias("own"),
         )
-        return rows.groupBy("node", "parent", "name", "depth").agg(F.sum("weight").alias("total_weight"), F.sum("own").alias("self_weight"), F.sum("samples").alias("samples"))
+        out = rows.groupBy("key", "name", "depth").agg(F.sum("weight").alias("total_weight"), F.sum("own").alias("self_weight"), F.sum("samples").alias("samples"))
+        above = F.slice("key", 1, F.col("depth") - 1)
+        return out.select(F.array_join("key", SEPARATOR).alias("node"), F.array_join(above, SEPARATOR).alias("parent"), "name", "depth", "total_weight", "self_weight", "samples", "key", above.alias("above"))
 
     def tree(self, max_depth: int = MAX_DEPTH, top: int = TREE_TOP) -> DataFrame:
         """Nodes down to a depth; of each node's children the heaviest, and how many were left out."""
         max_depth, top = min(max_depth, DEPTH_MOST), min(top, TOP_MOST)
         nodes = self.nodes().where(F.col("depth") <= max_depth)
-        w = Window.partitionBy("parent")
+        w = Window.partitionBy("above")
         nodes = nodes.withColumn("nth", F.row_number().over(w.orderBy(F.desc("total_weight"), "name"))).withColumn("siblings", F.count("*").over(w))
         kept = nodes.where(F.col("nth") <= top)
         # a node stays only if all above it stay
-        above = F.explode(F.expr(f"transform(sequence(1, depth), i -> array_join(slice(split(node, '{SEPARATOR}'), 1, i), '{SEPARATOR}'))"))
-        whole = kept.select("node", "depth", above.alias("at")).join(kept.select(F.col("node").alias("at")), "at").groupBy("node").agg(F.count("*").alias("found"), F.first("depth").alias("d")).where("found = d").select("node")
+        above = F.explode(F.expr("transform(sequence(1, depth), i -> slice(key, 1, i))"))
+        whole = kept.select("key", "depth", above.alias("at")).join(kept.select(F.col("key").alias("at")), "at").groupBy("key").agg(F.count("*").alias("found"), F.first("depth").alias("d")).where("found = d").select("key")
         all_weight = self.stacks.agg(F.sum("weight").alias("all"))
-        return kept.join(whole, "node").crossJoin(F.broadcast(all_weight)).select("node", "depth", "name", "total_weight", "self_weight", "samples", percent(F.col("total_weight"), F.col("all")).alias("percent"), (F.col("siblings") - F.least("siblings", F.lit(top))).alias("siblings_omitted"))  # all_weight is one row
+        return kept.join(whole, "key").crossJoin(F.broadcast(all_weight)).select("node", "depth", "name", "total_weight", "self_weight", "samples", percent(F.col("total_weight"), F.col("all")).alias("percent"), (F.col("siblings") - F.least("siblings", F.lit(top))).alias("siblings_omitted"))  # all_weight is one row
 
     def hot(self, top: int | None = HOT_TOP) -> DataFrame:
         """Functions by own weight; a stack counts once for a function however often it is in it."""
@@ -87,14 +92,15 @@ class Folded:
         """
         nodes = self.nodes().persist()
         try:
-            best = nodes.groupBy("parent").agg(F.max_by(F.struct("node", "name", "depth", "total_weight", "self_weight", "samples"), F.struct("total_weight", F.expr("transform(array(name), x -> -length(x))"))).alias("b")).persist()
-            out, at, before = [], "", None
-            while row := best.where(F.col("parent") == at).select("b.*").first():
+            best = nodes.groupBy("above").agg(F.max_by(F.struct("key", "node", "name", "depth", "total_weight", "self_weight", "samples"), F.struct("total_weight", F.expr("transform(array(name), x -> -length(x))"))).alias("b")).persist()
+            out, at, before = [], [], None
+            while row := best.where(F.col("above") == F.array(*map(F.lit, at)).cast("array<string>")).select("b.*").first():
                 step = row.asDict()
+                key = step.pop("key")
                 step["percent_of_parent"] = round(1000 * step["total_weight"] / before) / 10 if before else 100.0
                 step["is_wait"] = step["name"].split("@")[0] in WAIT_FRAMES and step["total_weight"] > 0 and step["self_weight"] / step["total_weight"] >= WAIT_SHARE
                 out.append(step)
-                at, before = step["node"], step["total_weight"]
+                at, before = key, step["total_weight"]
             best.unpersist()
         finally:
             nodes.unpersist()

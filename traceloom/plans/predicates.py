@@ -7,17 +7,21 @@ display value.  A condition is about rows with a display value, except is-null.
 from __future__ import annotations
 
 import re
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from traceloom.model import Table, TableError
+from traceloom.model import Table, TableError, column_type
 from traceloom.plans import roles
 
 TRUE_TEXTS, FALSE_TEXTS = ("Yes", "true"), ("No", "false")
 OPERATORS = ("eq", "ne", "gt", "gte", "lt", "lte", "contains", "not-contains", "regex", "is-null", "not-null", "is-sentinel", "not-sentinel")
 _NO_VALUE = ("is-null", "not-null", "is-sentinel", "not-sentinel")
+#: Times of stored timestamps are counted from here, as far as a Python date reaches.
+EPOCH, LAST_NS = datetime(1970, 1, 1), 2**63
 #: The narrow windows of values that count as a maximum of unknown width.
 UNKNOWN_MAX = [(2.0**32 - 256, 2.0**32 - 1), (1.8446744073709e19, float("inf"))]
 
@@ -45,14 +49,44 @@ def truth(table: Table, name: str, value: bool) -> Column:
     return _sure(raw.isin(*numbers, texts[1])) | _sure(fmt.isin(*texts))
 
 
+def _kind(table: Table, name: str) -> T.DataType | None:
+    """The type of the raw column, where it is one column of the table."""
+    return None if "." in name or f"{name}__fmt" in table.df.columns and name not in table.df.columns else column_type(table.df.schema, name)
+
+
+def _compared(table: Table, name: str, value: float) -> tuple[Column, Column]:
+    """Column and number as comparable expressions, bare where the column is a number, so that they reach the scan.
+
+    Whole numbers are compared as such, so none of 64 bits equals its neighbours.
+    """
+    raw, kind = table.raw(name), _kind(table, name)
+    whole = isinstance(value, int) or float(value).is_integer()
+    if isinstance(kind, T.IntegralType):
+        return raw, F.lit(int(value)) if whole and abs(value) < 2**63 else F.lit(float(value))
+    if isinstance(kind, T.NumericType):
+        return raw, F.lit(float(value))
+    text = raw.cast("string")
+    if whole and abs(value) > 2**53:
+        return text.try_cast("decimal(38,0)"), F.lit(int(value)).cast("decimal(38,0)")
+    return text.try_cast("double"), F.lit(float(value))
+
+
+def _same(table: Table, name: str, value) -> list[Column]:
+    """Ways to equal a value; null where the cell is null."""
+    if isinstance(value, (int, float)):
+        a, b = _compared(table, name, value)
+        return [a == b] if isinstance(_kind(table, name), T.NumericType) else [_sure(a == b), _sure(table.raw(name).cast("string") == number_text(value))]
+    raw = table.raw(name)
+    if isinstance(_kind(table, name), T.StringType) and f"{name}__fmt" not in table.df.columns:
+        return [raw == str(value)]
+    return [_sure(table.fmt(name) == str(value)), _sure(raw.cast("string") == str(value))]
+
+
 def equals(table: Table, name: str, value) -> Column:
-    """Equality with the raw or the display value."""
+    """Equality with the raw or the display value, for use as a filter: null counts as not equal."""
     if isinstance(value, bool):
         return truth(table, name, value)
-    text = table.raw(name).cast("string")
-    if isinstance(value, (int, float)):
-        return _sure(text.try_cast("double") == float(value)) | _sure(text == number_text(value))
-    return _sure(table.fmt(name) == value) | _sure(text == value)
+    return any_of(_same(table, name, value))
 
 
 def filter_map(table: Table, wanted: dict | None) -> Column:
@@ -60,12 +94,23 @@ def filter_map(table: Table, wanted: dict | None) -> Column:
 
 
 def time_range(table: Table, start: int | None = None, end: int | None = None) -> Column:
-    """Both ends included; without a time column nothing is filtered.  The column stays bare, so file statistics apply."""
+    """Both ends included; without a time column nothing is filtered.
+
+    A time that is computed from a stored timestamp has it beside as <time>__at; whole
+    microseconds around the range are compared with that, which file statistics can use.
+    """
     time = table.time_column()
     if time is None:
         return F.lit(True)
-    c = table.raw(time)
-    return all_of([c >= F.lit(start)] * (start is not None) + [c <= F.lit(end)] * (end is not None))
+    c, stored = table.raw(time), f"{time}__at"
+    bounds = [(x, op, us) for x, op, us in ((start, "ge", lambda ns: ns // 1000), (end, "le", lambda ns: -(-ns // 1000))) if x is not None]
+    parts = [c >= F.lit(x) if op == "ge" else c <= F.lit(x) for x, op, _ in bounds]
+    if stored in table.df.columns:
+        for x, op, us in bounds:
+            if abs(x) < LAST_NS:
+                moment = F.lit(EPOCH + timedelta(microseconds=us(x)))
+                parts.append(F.col(stored) >= moment if op == "ge" else F.col(stored) <= moment)
+    return all_of(parts)
 
 
 def sentinel(table: Table, name: str) -> Column:
@@ -105,7 +150,7 @@ def condition(table: Table, c: dict) -> Column:
     if op not in OPERATORS:
         raise TableError(f"unknown operator {op!r}; there are {', '.join(OPERATORS)}")
     raw, fmt = table.raw(name), table.fmt(name)
-    text, there = raw.cast("string"), fmt.isNotNull()
+    text, there = raw.cast("string"), fmt.isNotNull() if f"{name}__fmt" in table.df.columns else raw.isNotNull()
     if op == "is-null":
         return fmt.isNull()
     if op == "not-null":
@@ -135,13 +180,11 @@ def condition(table: Table, c: dict) -> Column:
         met = truth(table, name, value)
         return there & (met if op == "eq" else ~met)
     if op in ("eq", "ne"):
-        if isinstance(value, (int, float)):
-            same = [_sure(text == number_text(value)), _sure(text.try_cast("double") == float(value))]
-        else:
-            same = [_sure(fmt == str(value)), _sure(text == str(value))]
-        return there & (any_of(same) if op == "eq" else ~any_of(same))
+        same = any_of(_same(table, name, value))
+        return there & (same if op == "eq" else ~_sure(same))
     if op in ("gt", "gte", "lt", "lte"):
-        return there & _sure(_ordered(op, text.try_cast("double"), F.lit(float(value))))
+        met = _ordered(op, *_compared(table, name, value))
+        return there & (met if isinstance(_kind(table, name), T.NumericType) else _sure(met))
     if op == "regex":
         try:
             re.compile(str(value))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from traceloom import testdata as D
 from traceloom.functions import expressions as E
-from traceloom.model import ROW, Table, with_row_index
+from traceloom.model import ROW, Catalog, Column, Table, with_row_index
 from traceloom.operators import aggregate as A
 from traceloom.operators import detectors as X
 from traceloom.operators import relate as R
@@ -312,6 +312,19 @@ def q_row_idx_dense(spark, sf):
     return with_row_index(D.read(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey").select("o_orderkey", ROW)
 
 
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS _row_idx FROM lineitem")
+def q_row_idx_lineitem(spark, sf):
+    return with_row_index(D.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate"), "l_shipdate", "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", ROW)
+
+
+@query("SELECT event_id AS row_idx, 1704067200000000000 + event_id AS key FROM events WHERE event_id IN (7, 8, 9) OR event_id >= 500 AND event_id <= 600")
+def q_find_64_bit_key(spark, sf):
+    df = D.read(spark, sf, "events").select(F.col("event_id").alias(ROW), (F.lit(T0) + F.col("event_id")).alias("key"))
+    wanted = [{"field": "key", "op": "eq", "val": T0 + k} for k in (7, 8, 9)]
+    where = [{"anyOf": [*wanted, {"allOf": [{"field": "key", "op": "gte", "val": T0 + 500}, {"field": "key", "op": "lte", "val": T0 + 600}]}]}]
+    return Q.find(Table("keys", df, [Column("key", "uint64")]), where, limit=0, display=False)
+
+
 @query("SELECT doc_id, CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) || '… [truncated — ' || length(text) || ' chars total]' ELSE text END AS cell FROM documents")
 def q_cell_truncate(spark, sf):
     return D.read(spark, sf, "documents").select("doc_id", E.shown_cell(F.col("text")).alias("cell"))
@@ -349,6 +362,16 @@ def q_fm_timing_messages(spark, sf):
     return out.withColumn("total_ns", F.col("bought") - F.col("viewed"))
 
 
+@query("WITH e AS (SELECT user_id::VARCHAR AS request, event_id, event_type, epoch_us(ts) * 1000 AS t, json_extract(props, '$.k')::DOUBLE AS k FROM events), f AS (SELECT request, arg_min(t, event_id) FILTER (event_type = 'view') AS a, arg_min(t, event_id) FILTER (event_type = 'click') AS b, arg_min(t, event_id) FILTER (event_type = 'purchase') AS c, arg_min(k, event_id) FILTER (event_type = 'purchase') AS k FROM e GROUP BY 1) SELECT request, (b - a) / 1e6 AS prefill_ms, (c - b) / 1e6 AS generation_ms, (c - a) / 1e6 AS total_ms, k AS deltas FROM f")
+def q_fm_request_timing(spark, sf):
+    from traceloom.operators.lenses import request_timing
+
+    event = F.when(F.col("kind") == "view", "request_start").when(F.col("kind") == "click", "response_start").when(F.col("kind") == "purchase", "response_complete").otherwise("other")
+    message = F.concat(F.lit("TX,"), F.col(ROW).cast("string"), F.lit(","), F.col("thread").cast("string"), F.lit(',1,2::{"event": "'), event, F.lit('", "data": {"deltasCount": '), F.coalesce(F.col("props.k").cast("string"), F.lit("null")), F.lit("}}"))
+    table = Table("FMEventTable", D.events(spark, sf).df.select(ROW, F.col("time").alias("timestamp"), message.alias("message")), [Column("timestamp", "event-time"), Column("message", "string")])
+    return request_timing(table).select("request", "prefill_ms", "generation_ms", "total_ms", "deltas")
+
+
 # --- call stacks ---------------------------------------------------------------------
 
 _STACK = "s AS (SELECT [r_name, n_name, c_mktsegment, o_orderpriority] AS p, CAST(round(o_totalprice) AS BIGINT)::DOUBLE AS w FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
@@ -357,7 +380,13 @@ _NODES = f"{_STACK}, n AS (SELECT list_aggregate(p[1:d], 'string_agg', ' > ') AS
 
 @query(f"WITH {_NODES} SELECT node, parent, name, depth::INT AS depth, total_weight, self_weight, samples FROM n")
 def q_call_tree_nodes(spark, sf):
-    return S.fold(D.stacks(spark, sf), weight="weight").nodes()
+    return S.fold(D.stacks(spark, sf), weight="weight").nodes().drop("key", "above")
+
+
+@query(f"WITH {_STACK}, t AS (SELECT [p[1] || ' > ' || p[2], p[3]] AS p, w FROM s) SELECT list_aggregate(p[1:d], 'string_agg', ' > ') AS node, p[d] AS name, d::INT AS depth, sum(w) AS total_weight, sum(CASE WHEN d = 2 THEN w ELSE 0 END) AS self_weight, count(*) AS samples FROM t, (SELECT unnest([1, 2]) AS d) GROUP BY ALL")
+def q_call_tree_separator_in_name(spark, sf):
+    stacks = S.fold(D.stacks(spark, sf), weight="weight").stacks.select(F.array(F.concat_ws(" > ", F.get("path", F.lit(0)), F.get("path", F.lit(1))), F.get("path", F.lit(2))).alias("path"), "weight", "samples")
+    return S.Folded(stacks).tree(max_depth=40, top=50).select("node", "name", "depth", "total_weight", "self_weight", "samples")
 
 
 @query(f"""WITH {_NODES}, k AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY total_weight DESC, name) AS nth, count(*) OVER (PARTITION BY parent) AS sib FROM n WHERE depth <= 3),
@@ -416,7 +445,7 @@ def q_contains_detector(spark, sf):
 
 @query("SELECT count(*) AS n, count(*) FILTER (value > 50) AS over_low, count(*) FILTER (value > 100) AS over_high, count(*) FILTER (value BETWEEN 50 AND 100) AS between_, max(value) AS worst FROM events WHERE event_type = 'error'")
 def q_outlier_sweep(spark, sf):
-    return X.band_counts(D.events(spark, sf).df.where("kind = 'error'"), "value", 50, 100).withColumnRenamed("between", "between_")
+    return X.band_counts(D.events(spark, sf).df.where("kind = 'error'"), "value", 50, 100).withColumnRenamed("between", "between_").drop("worst_between")
 
 
 @query("SELECT o_custkey AS label, count(*) AS n, round(sum(o_totalprice), 2) AS total, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS longest_row FROM orders GROUP BY 1 HAVING count(*) > 10")
@@ -455,6 +484,71 @@ def q_percentile_detector(spark, sf):
     return D.events(spark, sf).df.groupBy("kind").agg(E.nearest_rank("value", 0.95).alias("p95"), E.nearest_rank("value", 0.99).alias("p99"))
 
 
+def _finding(spark, found: X.Finding | None) -> DataFrame:
+    """A row per metric of a finding, none if the detector is silent."""
+    rows = [(found.detector, name, float(value), found.row) for name, value, _ in found.metrics] if found else []
+    return spark.createDataFrame(rows, "detector string, metric string, value double, row_idx long")
+
+
+def _catalog(schema: str, df: DataFrame, columns: dict[str, str]) -> Catalog:
+    return Catalog([Table(schema, df, [Column(m, kind) for m, kind in columns.items()])])
+
+
+def _hitches(spark, sf, schema: str = "hitches") -> Catalog:
+    df = D.events(spark, sf).df.where("kind = 'error'").select(ROW, F.col("time").alias("start"), F.floor(F.col("value") * 1e6).alias("duration"), F.when(F.col("thread") % 2 == 0, F.lit("No")).otherwise(F.lit("Yes")).alias("is-system"))
+    return _catalog(schema, df, {"start": "start-time", "duration": "duration", "is-system": "boolean"})
+
+
+_HITCHES = "h AS (SELECT event_id AS r, floor(value * 1e6) / 1e6 AS ms, user_id % 2 = 0 AS app FROM events WHERE event_type = 'error'), b AS (SELECT 1000 / 60.0::DOUBLE AS b)"
+
+
+@query(f"WITH {_HITCHES} SELECT 'near-miss-sweep' AS detector, 'near misses' AS metric, count(*)::DOUBLE AS value, arg_max(r, (ms, -r)) AS row_idx FROM h, b WHERE app AND ms BETWEEN 0.5 * b AND b HAVING count(*) > 5")
+def q_detector_near_miss(spark, sf):
+    return _finding(spark, X.near_miss_sweep(_hitches(spark, sf)))
+
+
+_OVER = "o AS (SELECT count(*) FILTER (ms > low) AS n1, count(*) FILTER ({high}) AS n2, count(*) AS n, arg_max(r, (ms, -r)) AS w FROM g) SELECT '{name}' AS detector, '{one}' AS metric, n1::DOUBLE AS value, w AS row_idx FROM o WHERE n >= 5 AND n1 > 5 UNION ALL SELECT '{name}', '{two}', n2::DOUBLE, w FROM o WHERE n >= 5 AND n2 > 1"
+
+
+@query(f"WITH {_HITCHES}, g AS (SELECT r, ms, b AS low FROM h, b WHERE app), " + _OVER.format(high="ms > 2 * low", name="outlier-sweep", one="over budget", two="over twice the budget"))
+def q_detector_outliers(spark, sf):
+    return _finding(spark, X.outlier_sweep(_hitches(spark, sf)))
+
+
+@query(f"WITH {_HITCHES}, g AS (SELECT r, ms, b / 2 AS low FROM h, b), " + _OVER.format(high="ms >= 2 * low", name="render-hitch-sweep", one="over the baseline", two="twice the baseline"))
+def q_detector_render_hitches(spark, sf):
+    return _finding(spark, X.render_hitch_sweep(_hitches(spark, sf, "hitches-renders")))
+
+
+@query(f"WITH {_HITCHES}, p AS (SELECT count(*) AS n, quantile_disc(ms, 0.95) AS p95, quantile_disc(ms, 0.99) AS p99, arg_max(r, ms) AS w FROM h WHERE app) SELECT 'animation-hitches-distribution' AS detector, 'p95 ms' AS metric, p95 AS value, w AS row_idx FROM p, b WHERE n >= 5 AND p95 > 2 * b UNION ALL SELECT 'animation-hitches-distribution', 'p99 ms', p99, w FROM p, b WHERE n >= 5 AND p99 > 3 * b")
+def q_detector_hitch_distribution(spark, sf):
+    return _finding(spark, X.hitch_distribution(_hitches(spark, sf)))
+
+
+@query("WITH c AS (SELECT count(*) AS n, count(*) FILTER (user_id % 4 < 3) AS m FROM events WHERE floor(value) > 32) SELECT 'fm-prompt-caching-miss' AS detector, 'misses' AS metric, m::DOUBLE AS value, NULL::BIGINT AS row_idx FROM c WHERE m > 10 AND m / n > 0.5 UNION ALL SELECT 'fm-prompt-caching-miss', 'miss rate', m / n, NULL FROM c WHERE m > 10 AND m / n > 0.5")
+def q_detector_caching_miss(spark, sf):
+    df = D.events(spark, sf).df.select(ROW, F.floor("value").alias("total-tokens"), F.when(F.col("thread") % 4 < 3, F.lit(0)).alias("cached-tokens"))
+    return _finding(spark, X.caching_miss(_catalog("ModelInferenceTable", df, {"total-tokens": "uint64", "cached-tokens": "uint64"})))
+
+
+@query("WITH p AS (SELECT max(floor(value * 2e6)) AS worst, arg_max(event_id, floor(value * 2e6)) AS r FROM events WHERE user_id % 5 < 3 AND floor(value * 2e6) > 50e6) SELECT 'thread-priority-inversion' AS detector, 'longest inversion ms' AS metric, worst / 1e6 AS value, r AS row_idx FROM p WHERE worst IS NOT NULL")
+def q_detector_priority_inversion(spark, sf):
+    df = D.events(spark, sf).df.select(ROW, F.col("time").alias("start"), F.floor(F.col("value") * 2e6).alias("duration"), (F.col("thread") % 5).alias("scheduled-priority"), F.lit(3).alias("base-priority"))
+    return _finding(spark, X.priority_inversion(_catalog("ThreadPriority", df, {"start": "start-time", "duration": "duration", "scheduled-priority": "sched-priority", "base-priority": "sched-priority"})))
+
+
+@query("WITH p AS (SELECT count(*) AS n, sum(floor(value * 1e5)) AS bytes, arg_max(event_id, floor(value * 1e5)) AS r FROM events WHERE user_id % 3 > 0) SELECT 'leak-alloc-without-free' AS detector, 'live allocations' AS metric, n::DOUBLE AS value, r AS row_idx FROM p WHERE n > 1000 AND bytes > 10e6 UNION ALL SELECT 'leak-alloc-without-free', 'live bytes', bytes::DOUBLE, r FROM p WHERE n > 1000 AND bytes > 10e6")
+def q_detector_unfreed(spark, sf):
+    df = D.events(spark, sf).df.select(ROW, F.col("time").alias("timestamp"), F.floor(F.col("value") * 1e5).alias("size"), F.when(F.col("thread") % 3 > 0, F.lit("true")).otherwise(F.lit("false")).alias("live"))
+    return _finding(spark, X.unfreed(_catalog("Allocations/Allocations List", df, {"timestamp": "start-time", "size": "size-in-bytes", "live": "boolean"})))
+
+
+@query("WITH p AS (SELECT max(floor(value)) AS deepest, count(*) FILTER (floor(value) > 10) AS n, arg_max(event_id, floor(value)) AS r FROM events WHERE true) SELECT 'fm-main-actor-saturation' AS detector, 'queue depth' AS metric, deepest::DOUBLE AS value FROM p WHERE n > 20 UNION ALL SELECT 'fm-main-actor-saturation', 'samples', n::DOUBLE FROM p WHERE n > 20")
+def q_detector_actor_saturation(spark, sf):
+    df = D.events(spark, sf).df.select(ROW, F.col("time").alias("start"), F.floor("value").alias("count"))
+    return _finding(spark, X.actor_saturation(_catalog("SwiftActorQueueSize", df, {"start": "start-time", "count": "event-count"}))).drop("row_idx")  # several rows are as deep
+
+
 # --- lenses and catalogue ------------------------------------------------------------
 
 
@@ -467,6 +561,49 @@ def q_lens_unattributable(spark, sf):
     return unattributed(leaks, allocs, "address", "row", ["site"])
 
 
+@query("SELECT o_orderpriority AS group_key, sum(floor(o_totalprice))::DOUBLE AS value, count(*) AS row_count FROM orders GROUP BY 1")
+def q_lens_hangs(spark, sf):
+    from traceloom.operators.lenses import hangs
+
+    df = D.orders(spark, sf).df.select(ROW, F.col("time").alias("start"), F.floor("price").alias("duration"), F.col("priority").alias("hang-type"))
+    return hangs(Table("potential-hangs", df, [Column("start", "start-time"), Column("duration", "duration"), Column("hang-type", "event-concept")])).select("group_key", "value", "row_count")
+
+
+@query("SELECT count(*) AS open_at_start FROM events WHERE user_id % 10 = 0")
+def q_lens_open_at_start(spark, sf):
+    from traceloom.operators.lenses import AT_START, open_at_start
+
+    df = D.events(spark, sf).df.select(ROW, "time", F.when(F.col("thread") % 10 == 0, F.lit(AT_START)).otherwise(F.lit("00:01.000.000")).alias("time__fmt"))
+    return open_at_start(Table("network-connection-update", df, [Column("time", "event-time")]))
+
+
+@query("SELECT event_id AS row_idx, event_type AS category FROM events WHERE user_id % 2 = 0 AND event_type IN ('error', 'click')")
+def q_lens_runtime_issues(spark, sf):
+    from traceloom.operators.lenses import runtime_issues
+
+    df = D.events(spark, sf).df.select(ROW, "time", F.lit("com.example.issues").alias("subsystem"), F.when(F.col("thread") % 2 == 0, F.lit("Fault")).otherwise(F.lit("Default")).alias("message-type"), F.col("kind").alias("category"))
+    table = Table("os-log", df, [Column("time", "event-time"), Column("subsystem", "subsystem"), Column("message-type", "event-type"), Column("category", "category")])
+    return runtime_issues(table, "com.example.issues", "Fault", ["error", "click"], columns=["category"], limit=0)
+
+
+@query("SELECT event_id AS row_idx FROM events WHERE event_type = 'view' AND user_id % 3 = 0")
+def q_lens_busy_main_turns(spark, sf):
+    from traceloom.operators.lenses import busy_main_turns
+
+    df = D.events(spark, sf).df.select(ROW, F.col("time").alias("start"), F.when(F.col("kind") == "view", F.lit("Busy")).otherwise(F.lit("Waiting")).alias("interval-type"), F.when(F.col("thread") % 3 == 0, F.lit(1)).otherwise(F.lit(0)).alias("is-main"))
+    table = Table("runloop-intervals", df, [Column("start", "start-time"), Column("interval-type", "event-type"), Column("is-main", "boolean")])
+    return busy_main_turns(table, columns=[], limit=0)
+
+
+@query(f"WITH i AS (SELECT event_id AS r, {NS} AS a, {NS} + floor(value * 1e9)::BIGINT AS z FROM events WHERE event_type = 'error' AND user_id % 7 = 3) SELECT r AS row_idx, least(z, {T0 + 20 * DAY}) - greatest(a, {T0 + DAY}) AS delay_ns FROM i WHERE a <= {T0 + 20 * DAY} AND z >= {T0 + DAY} AND least(z, {T0 + 20 * DAY}) - greatest(a, {T0 + DAY}) >= 1000000 ORDER BY delay_ns DESC, row_idx LIMIT 1")
+def q_off_cpu_scheduling_delay(spark, sf):
+    from traceloom.operators.off_cpu import scheduling_delay
+
+    df = D.intervals(spark, sf).df.select(ROW, "start", "duration", F.when(F.col("label") == "3", F.lit("Runnable")).otherwise(F.lit("Running")).alias("state"))
+    table = Table("thread-state", df, [Column("start", "start-time"), Column("duration", "duration"), Column("state", "thread-state")])
+    return scheduling_delay(table, T0 + DAY, T0 + 20 * DAY)
+
+
 @query("SELECT doc_id AS row_idx, lang, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '…' ELSE text END AS snippet FROM documents ORDER BY doc_id LIMIT 200 OFFSET 50")
 def q_lens_list_requests(spark, sf):
     from traceloom.operators.lenses import list_requests

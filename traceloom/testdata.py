@@ -24,7 +24,7 @@ def ns(c: str) -> Expr:
 def events(spark: SparkSession, sf_dir: str) -> Table:
     """Point events: when, who, what, how much, and a nested cell."""
     props = F.struct(F.get_json_object("props", "$.k").try_cast("long").alias("k")).alias("props")
-    df = read(spark, sf_dir, "events").select(F.col("event_id").alias(ROW), ns("ts").alias("time"), F.col("user_id").alias("thread"), F.col("event_type").alias("kind"), "value", props, F.col("props").alias("props__fmt"))
+    df = read(spark, sf_dir, "events").select(F.col("event_id").alias(ROW), ns("ts").alias("time"), F.expr("cast(ts AS timestamp_ntz)").alias("time__at"), F.col("user_id").alias("thread"), F.col("event_type").alias("kind"), "value", props, F.col("props").alias("props__fmt"))
     return Table("events", df, [Column("time", "event-time"), Column("thread", "thread"), Column("kind", "event-type"), Column("value", "weight"), Column("props", "narrative")], hints={"roles": {"value": ("weight", "count")}})
 
 
@@ -36,7 +36,7 @@ def intervals(spark: SparkSession, sf_dir: str, kind: str = "error", factor: flo
 
 
 def orders(spark: SparkSession, sf_dir: str) -> Table:
-    df = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias(ROW), F.col("o_orderkey").alias("key"), ns("o_orderdate").alias("time"), F.col("o_custkey").alias("customer"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("price"))
+    df = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias(ROW), F.col("o_orderkey").alias("key"), ns("o_orderdate").alias("time"), F.expr("cast(o_orderdate AS timestamp_ntz)").alias("time__at"), F.col("o_custkey").alias("customer"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("price"))
     return Table("orders", df, [Column("key", "uint64"), Column("time", "event-time"), Column("customer", "uint64"), Column("status", "event-type"), Column("priority", "event-type"), Column("price", "weight")])
 
 
@@ -76,7 +76,7 @@ def stacks(spark: SparkSession, sf_dir: str) -> Table:
     n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
     rows = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
     frame = lambda name: F.struct(F.col(name).alias("name"), F.lit(None).cast("string").alias("addr"), F.lit(None).cast("string").alias("binary"), F.lit(None).cast("string").alias("binary_path"))
-    df = rows.select(F.col("o_orderkey").alias(ROW), ns("o_orderdate").alias("time"), F.col("c_mktsegment").alias("thread"), F.round("o_totalprice").cast("long").alias("weight"), F.array(*map(frame, ("o_orderpriority", "c_mktsegment", "n_name", "r_name"))).alias("stack"))
+    df = rows.select(F.col("o_orderkey").alias(ROW), ns("o_orderdate").alias("time"), F.expr("cast(o_orderdate AS timestamp_ntz)").alias("time__at"), F.col("c_mktsegment").alias("thread"), F.round("o_totalprice").cast("long").alias("weight"), F.array(*map(frame, ("o_orderpriority", "c_mktsegment", "n_name", "r_name"))).alias("stack"))
     return Table("order-samples", df, [Column("time", "sample-time"), Column("thread", "thread"), Column("weight", "weight"), Column("stack", "backtrace")], hints={"roles": {"weight": ("weight", "count")}})
 
 
