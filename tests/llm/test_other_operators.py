@@ -178,3 +178,15 @@ def test_pipeline_keeps_columns_and_effects(spark):
     empty = spark.createDataFrame([], docs.schema)
     for _, stage in C.STAGES:
         assert stage(spark, empty, DATA).count() == 0
+
+
+def test_classifier_with_conflicting_labels_and_repeated_ids(spark):
+    from traceloom.llm.quality_classifier import quality_classifier
+
+    rows = [(i, "good words in a row " * 5 if i % 2 else "bad junk *** " * 5, "en", "s", 1, None) for i in range(40)]
+    rows += [(1, "another text of document one", "en", "s", 1, None)] * 3 + [(None, None, None, None, None, None)]
+    labels = [(i, i % 2, 0) for i in range(40)] + [(0, 1, 0), (3, 0, 1), (None, 1, 0), (5, None, None)]
+    docs, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality long, toxic long")
+    one, two = (sorted(map(repr, quality_classifier(docs, m).collect())) for m in (marks, marks.orderBy("quality", "doc_id")))
+    assert len(one) == len(rows) and one == two
+    assert quality_classifier(docs.where("false"), marks).count() == 0 and quality_classifier(docs, marks.where("false")).count() == len(rows)

@@ -15,6 +15,7 @@ Defined results
 * null or empty text: only the features of the steps;
 * null or repeated ids, repeated rows: each row is scored on its own text;
 * rows without grade are not learned from; no graded row: score 0, thresholds at even odds;
+* several labels for an id: the worst counts; several rows with a labelled id: one is fitted on;
 * empty table: no rows; further columns of the input are ignored.
 """
 
@@ -138,9 +139,11 @@ def grade_of(quality: Column, toxic: Column) -> Column:
 
 def fit_model(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> CumulativeLink:
     """The model, fitted on at most so many labelled rows."""
-    graded = labels.select(F.col(id_col).alias("labelled"), grade_of(F.col("quality"), F.col("toxic")).alias("grade")).where("grade is not null").dropDuplicates(["labelled"])
+    graded = labels.select(F.col(id_col).alias("labelled"), grade_of(F.col("quality"), F.col("toxic")).alias("grade")).where("grade is not null")
+    graded = graded.groupBy("labelled").agg(F.min("grade").alias("grade"))  # of several labels the worst
     picked = graded.orderBy(F.xxhash64("labelled", F.lit(23)), "labelled").limit(rows)
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), F.col("id") == F.col("labelled")).select("grade", "text")  # picked: at most FIT_ROWS rows of two numbers
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), F.col("id") == F.col("labelled"))  # picked: at most FIT_ROWS rows of two numbers
+    sample = sample.groupBy("labelled").agg(F.first("grade").alias("grade"), F.min_by("text", F.xxhash64("text")).alias("text")).select("grade", "text")  # of several rows with an id one
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
