@@ -170,7 +170,7 @@ class Candidates:
 
     def __init__(self, rows: DataFrame, nodes: DataFrame, num: int, den: int, scratch: Scratch):
         self.num, self.den, self.scratch = num, den, scratch
-        several = lambda df, key: df.groupBy(key).agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select(key)
+        several = lambda df, key: df.groupBy(key).agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.count("pos").alias("all")).where("low < high and all > 0").select(key)  # noqa: E731  with pos, so both uses of placed share a shuffle
         placed = rows.where("node is not null").select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
         placed = placed.join(several(placed, "token"), "token", "left_semi")
         # sizes that may link are of one class or of two neighbouring ones, and each class is also put with the next
