@@ -517,3 +517,65 @@ def test_language_model_beats_the_base_on_held_out_texts(spark):
     out = score_documents(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
     base, score = out.where("held_out").agg({"base_score": "sum", "score": "sum"}).select("sum(base_score)", "sum(score)").first()
     assert score > base
+
+
+def cells_of(t):
+    """Each token's cell and number in the training counts, from the tokens of one text after the other."""
+    return list(zip(t.hash.tolist(), t.cls.tolist(), t.sub.tolist(), strict=True))
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_score_equals_a_sum_token_by_token(docs, rounds):
+    from traceloom.llm import language_model as L
+
+    texts = [(d, (t or "").encode()) for d, t in rows_of(docs)]
+    learn = [t for d, t in texts if zlib.crc32(b"" if d is None else str(d).encode()) % 10]
+    c = collections.Counter(x for t in learn for x in cells_of(L.Tokens([t])))
+    n = np.zeros((L.CLASSES, L.CLASSES))
+    kinds = np.zeros_like(n)
+    for (_, cls, sub), times in c.items():
+        n[cls, sub] += times
+        kinds[cls, sub] += 1
+    if rounds:
+        models = L.trained(docs, n, "doc_id", "text", rounds).models
+        assert all(np.abs(m.weights).max() > 0 for m in models)
+        weights = [m.weights.astype(np.float64) for m in models]
+
+    def softmax(level, rows, prior, k):
+        s = [math.log((p + 1) / sum(q + 1 for q in prior)) for p in prior]
+        if rounds:
+            s = [x + sum(weights[level][r][j] for r in rows) for j, x in enumerate(s)]
+        return s[k] - math.log(sum(math.exp(x) for x in s))
+
+    def score(text):
+        t, total = L.Tokens([text]), 0.0
+        for at, (h, cls, sub) in enumerate(cells_of(t)):
+            total += softmax(0, t.features(at, at + 1)[:, 0], n.sum(axis=1), cls)
+            if cls != L.END_CLASS:
+                total += softmax(1, t.features(at, at + 1, within=True)[:, 0], n[cls], sub)
+            total += math.log((c[h, cls, sub] + 0.1) / (n[cls, sub] + 0.1 * (kinds[cls, sub] + 1)))
+        return total / math.log(10)
+
+    want = sorted((repr(d), score(t)) for d, t in texts)
+    for common in (1 << 18, 5):
+        got = sorted((repr(r["doc_id"]), r["score"]) for r in L.score_documents(docs, common=common, rounds=rounds).collect())
+        assert [d for d, _ in got] == [d for d, _ in want]
+        assert np.allclose([s for _, s in got], [s for _, s in want], rtol=1e-4, atol=1e-4)
+
+
+def test_subclass_model_learns_and_is_a_distribution():
+    from traceloom.llm.language_model import CLASSES, END_CLASS, UNMET, Levels, Tokens
+
+    t = Tokens([b"tab cab gab lab " * 50, b"", b"x y"])
+    counts = np.bincount(t.cell, minlength=CLASSES * CLASSES).astype(float).reshape(CLASSES, CLASSES)
+    levels, whole = Levels(counts), len(t.hash)
+    squares, met = (np.full((2, len(levels.models[0].weights)), x, dtype=np.float32) for x in (1, UNMET))
+    before = levels.log_probabilities(t, 0, whole)
+    for _ in range(5):
+        levels.update(t, 0, whole, squares, met)
+    assert levels.log_probabilities(t, 0, whole).sum() > before.sum()
+    words = np.flatnonzero(t.cls != END_CLASS)
+    f = t.features(0, whole, within=True)[:, words]
+    every = np.stack([levels.models[1].log_probabilities(f, np.full(len(words), k), t.cls[words]) for k in range(CLASSES)])
+    assert np.allclose(np.exp(every).sum(axis=0), 1, atol=1e-4)
+    assert round(met[0].sum()) == 5 * 4 * whole and round(met[1].sum()) == 5 * 4 * len(words)
