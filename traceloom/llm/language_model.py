@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from traceloom.llm.scratch import Scratch
 from traceloom.llm.textcore import Words, chunks, mix, texts_of
 
-#: Classes, and subclasses of a class.
+#: Classes, and subclasses of a class; a power of two.
 CLASSES = 32
 END_CLASS = CLASSES - 1
 BITS = 15
@@ -118,11 +118,15 @@ class ClassModel:
 
     def _scores(self, features: np.ndarray, group: np.ndarray | int = 0) -> np.ndarray:
         """Scores of the classes, the largest of each row taken off."""
-        s = self.weights[features[0]]
+        s = self.weights.take(features[0], axis=0)
         for f in features[1:]:
-            s += self.weights[f]
-        s += self.bias[group]
-        s -= s.max(axis=1, keepdims=True)
+            s += self.weights.take(f, axis=0)
+        s += self.bias[group] if isinstance(group, int) else self.bias.take(group, axis=0)
+        top = s
+        while top.shape[1] > 1:  # by halves, as rows are short
+            half = top.shape[1] // 2
+            top = np.maximum(top[:, :half], top[:, half:])
+        s -= top
         return s
 
     def log_probabilities(self, features: np.ndarray, cls: np.ndarray, group: np.ndarray | int = 0) -> np.ndarray:
@@ -144,22 +148,26 @@ class ClassModel:
             order = np.argsort(f.astype(np.uint16), kind="stable")  # by radix
             by = f[order]
             at = np.flatnonzero(np.append(True, by[1:] != by[:-1]))
-            rows, times = by[at], np.diff(np.append(at, len(by)))
+            times = np.diff(np.append(at, len(by)))
+            # longest runs first, so that the runs with a k-th row are the first ones
+            longest = np.argsort((SHORT + 1 - np.minimum(times, SHORT + 1)).astype(np.uint16), kind="stable")
+            at, times = at[longest], times[longest]
+            rows = by[at]
             sums = g.take(order[at], axis=0)
+            many = np.count_nonzero(times > SHORT)
             for k in range(1, SHORT):
-                few = np.flatnonzero((times > k) & (times <= SHORT))
-                sums[few] += g.take(order[at[few] + k], axis=0)
-            many = np.flatnonzero(times > SHORT)
-            if len(many):
-                n = times[many]
+                few = np.count_nonzero(times > k)
+                sums[many:few] += g.take(order[at[many:few] + k], axis=0)
+            if many:
+                n = times[:many]
                 first = np.cumsum(n) - n
-                member = np.repeat(at[many] - first, n) + np.arange(n.sum())
-                sums[many] = np.add.reduceat(g.take(order[member], axis=0), first, axis=0)
+                member = np.repeat(at[:many] - first, n) + np.arange(n.sum())
+                sums[:many] = np.add.reduceat(g.take(order[member], axis=0), first, axis=0)
             if met is not None:
                 met[rows] += times
             squares[rows] += np.einsum("ij,ij->i", sums, sums) / CLASSES
             sums *= (rate / np.sqrt(squares[rows] + 1e-6))[:, None]
-            self.weights[rows] -= sums
+            self.weights[rows] = self.weights.take(rows, axis=0) - sums
 
 
 def token_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
