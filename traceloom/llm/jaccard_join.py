@@ -170,13 +170,15 @@ class Candidates:
 
     def __init__(self, rows: DataFrame, nodes: DataFrame, num: int, den: int, scratch: Scratch):
         self.num, self.den, self.scratch = num, den, scratch
-        several = lambda df, key: df.groupBy(key).agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.count("pos").alias("all")).where("low < high and all > 0").select(key)  # noqa: E731  with pos, so both uses of placed share a shuffle
-        placed = rows.where("node is not null").select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
-        placed = placed.join(several(placed, "token"), "token", "left_semi")
-        # sizes that may link are of one class or of two neighbouring ones, and each class is also put with the next
-        size = F.floor(F.log("n") / (math.log(den / num) * (1 + 1e-9))) if num < den else F.col("n")
-        placed = placed.select("grp", "pos", "token", F.explode(F.array(F.xxhash64("token", size), F.xxhash64("token", size + 1))).alias("cell"))
-        met = placed.join(several(placed, "cell"), "cell", "left_semi").groupBy("grp").agg(F.sort_array(F.collect_set(F.struct("pos", "token"))).alias("tokens"))
+        # sizes that may link are of one class or of two neighbouring ones; a token's classes are kept as bits
+        size = F.floor(F.log("n") / (math.log(den / num) * (1 + 1e-9))) if num < den else F.col("n").cast("long")
+        bit = lambda d: F.expr(f"shiftleft(1L, cast(pmod(size + {d}, 64) as int))")
+        once = sieve(rows.where("node is not null").select("row", "grp", "n", "prefix"), nodes.select("row"), "row")  # copies that pass only let more tokens through
+        placed = once.select("grp", size.alias("size"), F.posexplode("prefix").alias("pos", "token"))
+        several = scratch.keep(placed.groupBy("token").agg(F.count("*").alias("times"), F.bit_or(bit(0)).alias("sizes")).where("times > 1"))
+        placed = sieve(placed, several, "token").join(several, "token")
+        near = (F.col("times") > F.bit_count("sizes")) | (F.col("sizes").bitwiseAND(bit(1).bitwiseOR(bit(-1))) != 0)
+        met = placed.where(near).groupBy("grp").agg(F.sort_array(F.collect_set(F.struct("pos", "token"))).alias("tokens"))
         one = lambda c: F.when(F.count("*") == 1, F.min(c)).alias(c)
         groups = nodes.groupBy("grp").agg(F.count("*").alias("members"), F.min("n").alias("n"), F.min("shared").alias("shared"), *map(one, _SKETCH))
         groups = groups.join(met, "grp", "left").withColumn("enough", F.coalesce(F.size("tokens") >= F.col("shared"), F.lit(False)))
@@ -184,15 +186,19 @@ class Candidates:
         self.groups = groups.where("enough").drop("enough", "members")
         self.members = scratch.keep(nodes.select("grp", "node", "n", *_SKETCH).join(groups.select("grp"), "grp"))
 
-    def _rows(self, *columns: str) -> DataFrame:
+    def _rows(self, groups: DataFrame, *columns: str) -> DataFrame:
         """A row per group and shingle that may be the first one shared with a linked group."""
-        rows = self.groups.select("grp", "n", *columns, F.size("tokens").alias("hits"), F.transform(F.slice("tokens", 1, HEAD), lambda x: x["token"]).alias("head"), F.posexplode("tokens").alias("i", "t"))
+        rows = groups.select("grp", "n", *columns, F.size("tokens").alias("hits"), F.transform(F.slice("tokens", 1, HEAD), lambda x: x["token"]).alias("head"), F.posexplode("tokens").alias("i", "t"))
         return rows.select("grp", "n", "hits", *columns, "t.pos", "t.token", F.slice("head", 1, F.least("i", F.lit(HEAD))).alias("before")).where(F.expr(f"pos <= n - (n * {self.num}L + {self.den - 1}L) div {self.den}L"))
 
+    def _sides(self, pairs: DataFrame, *columns) -> DataFrame:
+        """The pairs (ga, gb) with these columns of both groups, as x and y."""
+        side = lambda g, c: self.groups.select(F.col("grp").alias(g), F.struct(*columns).alias(c))
+        return pairs.join(side("ga", "x"), "ga").join(side("gb", "y"), "gb")
+
     def _may_meet(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (ga, gb) of groups whose prefixes have as many shingles in common as linked ones have."""
-        side = lambda g, c: self.groups.select(F.col("grp").alias(g), F.struct("n", "shared", F.transform("tokens", lambda x: x["token"]).alias("tokens"), *_SKETCH).alias(c))
-        both = pairs.join(side("ga", "x"), "ga").join(side("gb", "y"), "gb").where(_may_link("x", "y", self.num, self.den))
+        """The pairs of groups whose prefixes have as many shingles in common as linked ones have."""
+        both = self._sides(pairs, "shared", F.transform("tokens", lambda x: x["token"]).alias("tokens"))
         return both.where(F.size(F.array_intersect("x.tokens", "y.tokens")) >= F.least("x.shared", "y.shared")).select("ga", "gb")
 
     def pivots(self) -> DataFrame:
@@ -200,10 +206,11 @@ class Candidates:
 
         The pivot is the group that shares most shingles with others, an unchanged copy rather than an edited one.
         """
-        rows = self._rows().select("token", "grp", "hits")
-        pivot = rows.groupBy("token").agg(F.max(F.struct("hits", "grp")).alias("p"))
-        met = rows.join(pivot, "token").where(F.col("grp") != F.col("p.grp"))
-        pairs = self._may_meet(met.select(F.least("grp", "p.grp").alias("ga"), F.greatest("grp", "p.grp").alias("gb")).distinct())
+        rows = self._rows(self.groups).select("token", "grp", "hits", "n")
+        pivot = rows.groupBy("token").agg(F.max(F.struct("hits", "grp", "n")).alias("p"))
+        met = rows.join(pivot, "token").where((F.col("grp") != F.col("p.grp")) & (F.least("n", "p.n") * F.lit(self.den) >= F.greatest("n", "p.n") * F.lit(self.num)))
+        pairs = self._sides(met.select(F.least("grp", "p.grp").alias("ga"), F.greatest("grp", "p.grp").alias("gb")).distinct(), "n", *_SKETCH)
+        pairs = self._may_meet(pairs.where(_may_link("x", "y", self.num, self.den)).select("ga", "gb"))
         head = self.members.groupBy("grp").agg(F.min(F.struct("node", "n", *_SKETCH)).alias("h"))
         across = pairs.join(head.select(F.col("grp").alias("ga"), F.col("h.node").alias("a")), "ga").join(head.select(F.col("grp").alias("gb"), F.col("h.node").alias("b")), "gb").select("a", "b")
         within = self.members.alias("x").join(head.select("grp", F.col("h").alias("y")), "grp").where(F.col("x.node") != F.col("y.node")).where(_may_link("x", "y", self.num, self.den))
@@ -221,9 +228,10 @@ class Candidates:
         # a group stands for its members' component, if it is one
         of = members.groupBy("grp").agg(F.min("component").alias("component"), F.max("component").alias("other"), F.min("node").alias("first"), F.max("node").alias("last"))
         of = self.scratch.keep(of.select("grp", F.xxhash64("component").alias("part"), (F.col("component") == F.col("other")).alias("sure"), (F.col("first") == F.col("last")).alias("single")))
-        rows = self._rows(*_SKETCH).drop("hits").join(of, "grp")
+        rows = self._rows(self.groups.join(of, "grp"), "part", "sure", "single", *_SKETCH).drop("hits")
         mixed = rows.groupBy("token").agg(F.min("part").alias("one"), F.max("part").alias("other"), F.bool_and("sure").alias("all"), F.count_if(F.col("single")).alias("times"), F.bool_and("single").alias("singles")).where("one != other and (times > 2 or not singles) or not all").select("token")  # of two single nodes one was the other's pivot
-        rows = self.scratch.keep(rows.drop("single").join(mixed, "token", "left_semi"))
+        mixed = self.scratch.keep(mixed)
+        rows = sieve(rows.drop("single"), mixed, "token").join(mixed, "token", "left_semi")
         x, y = rows.alias("x"), rows.alias("y")
         apart = (F.col("x.part") != F.col("y.part")) | ~F.col("x.sure") | ~F.col("y.sure")
         after = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= _least_common("x", "y", num, den)
@@ -248,9 +256,9 @@ class Texts:
 
     def of(self, needed: DataFrame) -> DataFrame:
         """needed (node and more) with the text of each row's node."""
-        wanted = self.nodes.join(needed.select("node").distinct(), "node")
+        wanted = self.nodes.join(needed, "node")
         texts = sieve(self.docs, wanted, "mark").join(wanted.select("mark").distinct(), "mark", "left_semi").groupBy("mark").agg(F.min("text").alias("text"))
-        return needed.join(wanted.join(texts, "mark").select("node", "text"), "node")
+        return wanted.join(texts, "mark").drop("mark")
 
 
 def _named_sets(texts: list[bytes], k: int) -> dict[bytes, np.ndarray]:
@@ -340,8 +348,9 @@ class Linked:
     """rows: each row's id, node and n; nodes: with their smallest id and copies; parts: node, component if linked."""
 
     def __init__(self, docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str, scratch: Scratch):
-        self.rows = scratch.keep(features(docs, k, num, den, id_col, text_col, heavy_shingles(docs, k, text_col)))
-        any_of = [F.min(c).alias(c) for c in ("n", "shared", "grp", "mark", *_SKETCH)]
+        made = features(docs, k, num, den, id_col, text_col, heavy_shingles(docs, k, text_col))
+        self.rows = scratch.keep(made.withColumn("row", F.monotonically_increasing_id()))
+        any_of = [F.min(c).alias(c) for c in ("n", "shared", "grp", "mark", "row", *_SKETCH)]
         self.nodes = scratch.keep(self.rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), *any_of))
         self.texts = Texts(docs, self.nodes, text_col)
         found = Candidates(self.rows, self.nodes, num, den, scratch)
