@@ -47,7 +47,7 @@ from traceloom.llm.textcore import Words, chunks, distinct_by_owner, mix, shingl
 HEAVY = 1000
 HEAVY_BITS = 22
 #: Shingles that linked prefixes share, where sets are large enough.
-SHARED = 4
+SHARED = 8
 SKETCH_WORDS = 8
 #: Nodes of a block in verification, and texts in a task's bucket, on average.
 BLOCK = 256
@@ -184,6 +184,7 @@ class Candidates:
         groups = groups.join(met, "grp", "left").withColumn("enough", F.coalesce(F.size("tokens") >= F.col("shared"), F.lit(False)))
         groups = scratch.keep(groups.where("enough or members > 1"))
         self.groups = groups.where("enough").drop("enough", "members")
+        scratch.drop(scratch.n - 1)  # several, which nothing reads from here on
         self.members = scratch.keep(nodes.select("grp", "node", "n", *_SKETCH).join(groups.select("grp"), "grp"))
 
     def _rows(self, groups: DataFrame, *columns: str) -> DataFrame:
@@ -349,11 +350,13 @@ class Linked:
 
     def __init__(self, docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str, scratch: Scratch):
         made = features(docs, k, num, den, id_col, text_col, heavy_shingles(docs, k, text_col))
-        self.rows = scratch.keep(made.withColumn("row", F.monotonically_increasing_id()))
+        rows, whole = scratch.keep(made.withColumn("row", F.monotonically_increasing_id())), scratch.n
         any_of = [F.min(c).alias(c) for c in ("n", "shared", "grp", "mark", "row", *_SKETCH)]
-        self.nodes = scratch.keep(self.rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), *any_of))
+        self.nodes = scratch.keep(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), *any_of))
         self.texts = Texts(docs, self.nodes, text_col)
-        found = Candidates(self.rows, self.nodes, num, den, scratch)
+        found = Candidates(rows, self.nodes, num, den, scratch)
+        self.rows = scratch.keep(rows.select("id", "node", "n"))
+        scratch.drop(whole)  # prefixes and sketches of all rows
         links = verified(found.pivots(), self.texts, k, num, den, scratch)
         parts = scratch.keep(connected_components(links, scratch))
         rest = verified(found.across(parts), self.texts, k, num, den, scratch)
