@@ -230,14 +230,17 @@ class Candidates:
         of = members.groupBy("grp").agg(F.min("component").alias("component"), F.max("component").alias("other"), F.min("node").alias("first"), F.max("node").alias("last"))
         of = self.scratch.keep(of.select("grp", F.xxhash64("component").alias("part"), (F.col("component") == F.col("other")).alias("sure"), (F.col("first") == F.col("last")).alias("single")))
         rows = self._rows(self.groups.join(of, "grp"), "part", "sure", "single", *_SKETCH).drop("hits")
-        mixed = rows.groupBy("token").agg(F.min("part").alias("one"), F.max("part").alias("other"), F.bool_and("sure").alias("all"), F.count_if(F.col("single")).alias("times"), F.bool_and("single").alias("singles")).where("one != other and (times > 2 or not singles) or not all").select("token")  # of two single nodes one was the other's pivot
+        mixed = rows.groupBy("token").agg(F.min("part").alias("one"), F.max("part").alias("other"), F.bool_and("sure").alias("all"), F.count_if(F.col("single")).alias("times"), F.bool_and("single").alias("singles")).where("one != other and (times > 2 or not singles) or not all").select("token", "other", "all")  # of two single nodes one was the other's pivot
         mixed = self.scratch.keep(mixed)
-        rows = sieve(rows.drop("single"), mixed, "token").join(mixed, "token", "left_semi")
-        x, y = rows.alias("x"), rows.alias("y")
+        rows = sieve(rows.drop("single"), mixed, "token")
+        # a pair goes from the smaller component to the larger, so a token's largest starts none
+        starts = rows.join(mixed, "token").where("part < other or not all").drop("other", "all")
+        x, y = starts.alias("x"), rows.alias("y")
+        up = (F.col("x.part") < F.col("y.part")) | ((F.col("x.part") == F.col("y.part")) & (F.col("x.grp") < F.col("y.grp")))
         apart = (F.col("x.part") != F.col("y.part")) | ~F.col("x.sure") | ~F.col("y.sure")
         after = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= _least_common("x", "y", num, den)
         new = ~F.arrays_overlap("x.before", "y.before")
-        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.grp") < F.col("y.grp")) & apart & after & _may_link("x", "y", num, den) & new)
+        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & up & apart & after & _may_link("x", "y", num, den) & new)
         pairs = self._may_meet(pairs.select(F.col("x.grp").alias("ga"), F.col("y.grp").alias("gb")).distinct())
         a, b = members.alias("a"), members.alias("b")
         may = (F.col("a.component") != F.col("b.component")) & _may_link("a", "b", num, den)
