@@ -9,7 +9,8 @@
    prefixes, take the one that ends first; at most M of its shingles are missing in the
    other set, and those not missing lie within the other's prefix.
 3. Nodes with the same prefix and size are one group.  Group prefixes meet in shingles.
-   Shingles leave that no group of about the same size has too, then groups with fewer than K.
+   Each shingle is counted with the size classes of its holders.  Shingles leave that no group
+   of about the same size has too, then groups with fewer than K.
    The first shingle that linked prefixes share is among the first M + 1 of either.
 4. Each shingle's groups are compared with one pivot of them only, a number that does not
    grow with the square of a group.  This connects most of what is linked.
