@@ -183,6 +183,24 @@ def test_jaccard_join(docs, k, num):
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
+@pytest.mark.parametrize("num", [90, 100])
+def test_jaccard_join_at_the_bounds_of_sizes(spark, num):
+    """Pairs of a text and its beginning whose sizes are just near enough, or just not."""
+    from traceloom.llm.jaccard_join import jaccard_components
+
+    rows, want = [], []
+    for n, m in [(9, 10), (8, 9), (18, 20), (17, 19), (27, 30), (81, 90), (80, 90), (90, 100), (89, 100), (450, 500), (449, 500), (900, 1000), (3, 3), (1, 1), (700, 700)]:
+        words = [f"w{len(rows)}x{i}" for i in range(m + 2)]
+        first = len(rows)
+        rows += [(first, " ".join(words[: n + 2])), (first + 1, " ".join(words))]
+        want += [(first, n, first), (first + 1, m, first if 100 * n >= num * m else first + 1)]
+    rows.append((len(rows), rows[0][1].upper()))
+    want.append((len(rows) - 1, 9, 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in jaccard_components(docs, 3, num, 100).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_jaccard_join_of_clusters(spark):
     """Edited copies of some texts, most of them not linked with each other, many to a cluster."""
     from traceloom.llm.jaccard_join import jaccard_components
