@@ -315,6 +315,33 @@ def test_suffix_array_order_and_prefixes():
     assert set(np.flatnonzero(s.met_in(s))) == set(s.at)
 
 
+def test_suffix_arrays_of_a_shard_take_bounded_memory():
+    """A shard of any size takes no more than some times the bytes of one array, with the same runs."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from traceloom.llm.suffix_dedup import repeated_windows
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for anchor in range(400):
+        base = rng.integers(97, 101, 260).astype(np.uint8)
+        for kind in range(24):
+            part = base[kind:].copy()
+            part[-1 - kind] = 65
+            rows.append((anchor, len(rows), len(part) - 199, anchor % 3 // 2, 1, bool(kind % 2) and anchor % 3 < 2, part.tobytes()))
+    shard = pa.table([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()])], names=["anchor", "segment", "windows", "i", "j", "second", "part"])
+    size = sum(len(r[-1]) for r in rows)
+    tracemalloc.start()
+    found = repeated_windows(shard)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert size > 2e6 and most < 90e6
+    runs = lambda t: sorted(zip(*(t[c].to_pylist() for c in ("anchor", "segment", "a", "z"))))
+    assert len(found) and runs(found) == runs(repeated_windows(shard, array_bytes=1))
+
+
 # --- line dedup ----------------------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ somewhere else.  Strings of that length are called windows here.
    own hash.  Anchors met once are done: their windows occur once.
 2. Equal segments are counted, not gathered: where one is met twice, all its windows
    repeat.  Only anchors met with different segments go on, each segment once, to shards.
-3. Per shard a suffix array of all windows: ranks by the first 8 bytes, then
+3. Per shard suffix arrays of all windows, of whole anchors each: ranks by the first 8 bytes, then
    Larsson-Sadakane refinement, which doubles the depth and sorts only groups that are
    still tied.  Kasai's walk in text order then gives the common prefixes of neighbours,
    with many segments as lanes of one numpy walk.
@@ -44,14 +44,16 @@ from traceloom.llm.textcore import chunks, mix, powers, running_hash, texts_of
 
 LENGTH = 200
 GRAM = 32
-#: Bytes of segments in a shard, on average.
-SHARD_BYTES = 3 << 20
+#: Bytes of segments in a shard, on average, and in a suffix array, unless one slice of an anchor has more.
+SHARD_BYTES = 1 << 20
 #: Segments of one anchor in a slice.
 SLICE = 4096
 #: Windows of a text that are anchored at once.
 PIECE = 1 << 22
 
 _U = np.uint64
+#: Of positions and ranks in a suffix array.
+_I = np.int32
 _AT = _U((1 << 28) - 1)
 
 
@@ -96,11 +98,12 @@ def segments(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> dict
 
 def _words_at(buf: np.ndarray) -> np.ndarray:
     """The 8 bytes from each position as a big-endian number."""
-    padded = np.zeros(len(buf) + 8, dtype=np.uint64)
+    padded = np.zeros(len(buf) + 8, dtype=np.uint8)
     padded[: len(buf)] = buf
     out = np.zeros(len(buf), dtype=np.uint64)
     for k in range(8):
-        out |= padded[k : k + len(buf)] << _U(56 - 8 * k)
+        out <<= _U(8)
+        out |= padded[k : k + len(buf)]
     return out
 
 
@@ -116,15 +119,19 @@ class SuffixArray:
         sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
         self.starts = np.cumsum(sizes) - sizes
         n = len(self.buf)
-        room = np.repeat(self.starts + sizes, sizes) - np.arange(n)
+        room = np.repeat((self.starts + sizes).astype(_I), sizes)
+        room -= np.arange(n, dtype=_I)
         self.words = _words_at(self.buf)
-        pos = np.flatnonzero(room >= min(8, depth))
-        act = pos[np.argsort(self.words[pos], kind="stable")]
-        rank = np.full(n, -1, dtype=np.int64)
+        act = np.flatnonzero(room >= min(8, depth)).astype(_I)
         tie = self.words[act]
+        by = np.argsort(tie, kind="stable")
+        act, tie = act[by], tie[by]
+        del by
+        rank = np.full(n, -1, dtype=_I)
         new = np.ones(len(act), dtype=bool)
         new[1:] = tie[1:] != tie[:-1]
-        rank[act] = np.maximum.accumulate(np.where(new, np.arange(len(act)), 0))
+        del tie
+        rank[act] = np.maximum.accumulate(np.where(new, np.arange(len(act), dtype=_I), _I(0)))
         h = 8
         while h < depth and len(act):
             step = min(h, depth - h)
@@ -138,11 +145,12 @@ class SuffixArray:
                 group[1:] = first[1:] != first[:-1]
                 inner = group.copy()
                 inner[1:] |= second[1:] != second[:-1]
-                here = np.arange(len(act))
-                rank[act] = first + np.maximum.accumulate(np.where(inner, here, 0)) - np.maximum.accumulate(np.where(group, here, 0))
+                here = np.arange(len(act), dtype=_I)
+                rank[act] = first + np.maximum.accumulate(np.where(inner, here, _I(0))) - np.maximum.accumulate(np.where(group, here, _I(0)))
             h += step
         self.rank = rank
-        at = np.repeat(self.starts, windows) + np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+        at = np.arange(int(windows.sum()), dtype=_I)
+        at += np.repeat((self.starts - np.cumsum(windows) + windows).astype(_I), windows)
         self.at, self.windows = at, windows
         self.order = at[np.argsort(rank[at], kind="stable")]
 
@@ -156,23 +164,23 @@ class SuffixArray:
     def common_prefixes(self) -> np.ndarray:
         """Kasai: for each window's position its common prefix with the window before it in order, up to depth."""
         n, depth = len(self.buf), self.depth
-        before = np.full(n, -1, dtype=np.int64)
+        before = np.full(n, -1, dtype=_I)
         before[self.order[1:]] = self.order[:-1]
-        lcp = np.zeros(n, dtype=np.int64)
+        lcp = np.zeros(n, dtype=_I)
         # only windows tied at full depth can reach it; each run of them is a lane
         tied = np.sort(self.order[1:][self.rank[self.order[1:]] == self.rank[self.order[:-1]]])
         if not len(tied):
             return lcp
         new = np.flatnonzero(np.append(True, tied[1:] != tied[:-1] + 1))
         length = np.diff(np.append(new, len(tied)))
-        p, left, h = tied[new], length.copy(), np.zeros(len(new), dtype=np.int64)
+        p, left, h = tied[new], length.copy(), np.zeros(len(new), dtype=_I)
         while len(p):
             q = before[p]
             live = np.arange(len(p))
             while len(live):
                 x, y, at = p[live], q[live], h[live]
                 word = at + 8 <= depth
-                gain = np.zeros(len(live), dtype=np.int64)
+                gain = np.zeros(len(live), dtype=_I)
                 gain[word] = 8 * (self.words[x[word] + at[word]] == self.words[y[word] + at[word]])
                 byte = (gain == 0) & (at < depth)
                 gain[byte] = self.buf[x[byte] + at[byte]] == self.buf[y[byte] + at[byte]]
@@ -211,7 +219,7 @@ class SuffixArray:
     def met_in(self, other: SuffixArray) -> np.ndarray:
         """Positions of windows that other has too, by binary search in its order."""
         mark = np.zeros(len(self.buf), dtype=bool)
-        lo, hi = np.zeros(len(self.at), dtype=np.int64), np.full(len(self.at), len(other.order))
+        lo, hi = np.zeros(len(self.at), dtype=_I), np.full(len(self.at), len(other.order), dtype=_I)
         live = np.flatnonzero(lo < hi)
         while len(live):
             mid = (lo[live] + hi[live]) // 2
@@ -226,7 +234,7 @@ class SuffixArray:
         """Runs of marked windows: segment, first, and one past the last."""
         m = np.zeros(len(self.at) + 2, dtype=np.int8)
         m[1:-1] = mark[self.at]
-        owner = np.repeat(np.arange(len(self.windows)), self.windows)
+        owner = np.repeat(np.arange(len(self.windows), dtype=_I), self.windows)
         edge = np.flatnonzero(owner[1:] != owner[:-1]) + 1
         starts = np.flatnonzero(np.diff(m) == 1)
         ends = np.flatnonzero(np.diff(m) == -1)
@@ -285,23 +293,44 @@ def _sharded(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, "anchor long, segment long, times long, windows int, i long, j long, second boolean, shard long, part binary")
 
 
-def repeated_windows(table: pa.Table, length: int = LENGTH) -> pa.Table:
-    """Runs of windows that repeat among a shard's segments: anchor, segment, first, one past the last."""
-    i, j, second = table["i"].to_numpy(), table["j"].to_numpy(), table["second"].to_numpy(zero_copy_only=False)
+def repeated_windows(table: pa.Table, length: int = LENGTH, array_bytes: int = SHARD_BYTES) -> pa.Table:
+    """Runs of windows that repeat among a shard's segments: anchor, segment, first, one past the last.
+
+    A suffix array takes more whole slices while they have up to array_bytes together, so
+    memory does not grow with the shard.
+    """
+    anchor, i, j, second = table["anchor"].to_numpy(), table["i"].to_numpy(), table["j"].to_numpy(), table["second"].to_numpy(zero_copy_only=False)
     windows, parts = table["windows"].to_numpy().astype(np.int64), table["part"].to_pylist()
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
+    def slices(rows: np.ndarray) -> list[np.ndarray]:
+        """The rows of each anchor and two slices of it."""
+        rows = rows[np.lexsort((j[rows], i[rows], anchor[rows]))]
+        new = (anchor[rows][1:] != anchor[rows][:-1]) | (i[rows][1:] != i[rows][:-1]) | (j[rows][1:] != j[rows][:-1])
+        return np.split(rows, np.flatnonzero(new) + 1) if len(rows) else []
+
     def add(rows: np.ndarray, array: SuffixArray, mark: np.ndarray) -> None:
         own, a, z = array.spans(mark)
         found.append((rows[own], a, z))
 
-    plain = np.flatnonzero(i == j)
-    if len(plain):
+    def repeated(rows: list[np.ndarray]) -> None:
+        plain = np.concatenate(rows)
         array = SuffixArray([parts[r] for r in plain], windows[plain], length)
         add(plain, array, array.repeated())
+
+    held, size = [], 0
+    for rows in slices(np.flatnonzero(i == j)):
+        more = int(windows[rows].sum()) + len(rows) * (length - 1)
+        if held and size + more > array_bytes:
+            repeated(held)
+            held, size = [], 0
+        held.append(rows)
+        size += more
+    if held:
+        repeated(held)
     # each two slices by themselves: a segment is the second in one merge and the first in another
-    for x, y in sorted(set(zip(i[i != j].tolist(), j[i != j].tolist(), strict=True))):
-        sides = [np.flatnonzero((i == x) & (j == y) & (second == s)) for s in (False, True)]
+    for rows in slices(np.flatnonzero(i != j)):
+        sides = [rows[second[rows] == s] for s in (False, True)]
         if all(map(len, sides)):
             one, two = (SuffixArray([parts[r] for r in side], windows[side], length) for side in sides)
             add(sides[0], one, one.met_in(two))
