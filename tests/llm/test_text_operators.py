@@ -255,6 +255,22 @@ def test_jaccard_join_of_nothing_and_one_of_each(docs):
     assert out.where("text is null or text = ''").count() == docs.where("text is null or text = ''").count()
 
 
+def test_jaccard_join_ends_without_further_pairs(spark, monkeypatch):
+    """Dead plans are let go while it runs, and a round without pairs has no verification and no components."""
+    from traceloom.llm.jaccard_join import Linked
+    from traceloom.llm.scratch import Scratch
+
+    freed = []
+    monkeypatch.setattr(Scratch, "free", lambda self: freed.append(self.n), raising=False)
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(30)]
+    rows = [(2 * i + k, t + " more" * k) for i, t in enumerate(texts) for k in range(2)]
+    scratch = Scratch(spark, "test")
+    linked = Linked(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100, "doc_id", "text", scratch)
+    assert linked.parts.groupBy("component").count().where("count = 2").count() == 30
+    # of them 5 for the one verification and 3 for the components
+    assert scratch.n == 18 and len(freed) >= 4
+
+
 # --- suffix-array dedup --------------------------------------------------------------
 
 

@@ -285,6 +285,9 @@ def _links(s: np.ndarray, t: np.ndarray, num: int, den: int) -> bool:
 def verified(pairs: DataFrame, texts: Texts, k: int, num: int, den: int, scratch: Scratch) -> DataFrame:
     """The pairs whose sets, made from whole texts, reach the similarity."""
     pairs = scratch.keep(pairs)
+    scratch.free()
+    if pairs.isEmpty():
+        return pairs
     # pairs that are near each other go together: by the smaller of the smallest neighbours of their nodes
     ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = scratch.keep(ends.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("near")))
@@ -304,6 +307,7 @@ def verified(pairs: DataFrame, texts: Texts, k: int, num: int, den: int, scratch
     found = dealt.groupBy("bucket").cogroup(texts.of(needed).select("part", "text").groupBy("part")).applyInArrow(run, "a binary, b binary")
     found = scratch.keep(found)
     scratch.drop(*range(scratch.n - 4, scratch.n))
+    scratch.free()
     return found
 
 
@@ -361,10 +365,13 @@ class Linked:
         found = Candidates(rows, self.nodes, num, den, scratch)
         self.rows = scratch.keep(rows.select("id", "node", "n"))
         scratch.drop(whole)  # prefixes and sketches of all rows
+        scratch.free()
         links = verified(found.pivots(), self.texts, k, num, den, scratch)
         parts = scratch.keep(connected_components(links, scratch))
         rest = verified(found.across(parts), self.texts, k, num, den, scratch)
-        self.parts = scratch.keep(connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest), scratch))
+        # without further links the components stay
+        self.parts = parts if rest.isEmpty() else scratch.keep(connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest), scratch))
+        scratch.free()
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,6 +69,15 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def free(self) -> None:
+        """Let Spark free shuffles and broadcasts of the steps that are done.
+
+        It does so once the driver has collected the objects that stand for them, which a
+        long row of short steps puts off until the driver's heap is as large as it may be.
+        """
+        gc.collect()  # the plans that Python still holds
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: int) -> None:
         """Delete the tables with these numbers, or all of them."""
         with contextlib.suppress(Exception):
