@@ -538,6 +538,32 @@ def test_isolation_forest_ranks_outliers_first():
     assert calibrate(s, np.ones(len(x), dtype=bool)) == math.inf
 
 
+def test_forest_and_threshold_come_from_all_rows(spark, monkeypatch):
+    """Leaves are weighed by every row, and every labelled row counts, however few rows the trees draw."""
+    from traceloom.llm import quality_rules as q
+    from traceloom.llm.scratch import Scratch
+
+    for name, value in (("TREES", 8), ("TREE_ROWS", 16)):
+        monkeypatch.setattr(q, name, value)
+    monkeypatch.setattr(q, "CALIBRATION_ROWS", 5, raising=False)  # there was such a cap
+    rng = random.Random(2)
+    rows = [(i, " ".join("".join(rng.choice("abc#1") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(8, 30)))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(t.count("#") * 9 < len(t) * 1.4)) for i, t in rows], "doc_id long, quality int")
+    c = q.rule_counts([t.encode() for _, t in rows])
+    counts = q.counted(docs, "doc_id", "text")
+    forest, threshold = q.fitted(counts, labels, Scratch(spark, "test")) if "scratch" in q.fitted.__code__.co_varnames else q.fitted(counts, labels)
+    x, ok = q.statistics(c), ~q.base_failed(c)
+    score, good = forest.score(x), np.array([t.count("#") * 9 < len(t) * 1.4 for _, t in rows])
+    assert 0 < good[ok].sum() < ok.sum() < len(rows)
+    assert threshold == q.calibrate(score[ok], good[ok])
+    share = np.zeros(len(forest.column))
+    for root, at in zip(forest.roots, forest.leaves(x[c["n_words"] >= q.MIN_WORDS])):
+        share += np.bincount(at, minlength=len(share)) / len(at)
+    leaf = forest.column < 0
+    np.testing.assert_allclose(forest.length[leaf], (forest.depth + q._expected(16 * share))[leaf])
+
+
 # --- language model ------------------------------------------------------------------
 
 
