@@ -496,6 +496,23 @@ def test_blocks_of_short_lines_are_found(spark):
         assert len(set(zip(parts, key.tolist()))) == len(set(parts)) == len(set(key.tolist()))
 
 
+def test_aligned_lines_hold_few_pairs_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from traceloom.llm.line_dedup import aligned_lines
+
+    lines = np.arange(1 << 40, (1 << 40) + 100)
+    lists = pa.array([lines] * 4000, pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), lists, pa.array([[30] * 100] * 4000, pa.list_(pa.int32())), lists], ["doc", "hashes", "sizes", "other"])
+    tracemalloc.start()
+    found = sum(len(x) for b in aligned_lines(iter([batch]), 20) for x in b.column(1).to_pylist())
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 4000 * 100 and most < 5e6
+
+
 # --- quality rules -------------------------------------------------------------------
 
 

@@ -46,6 +46,8 @@ MIN_BLOCK = 20
 RARE = 4
 #: Bits held while a gap is aligned; larger gaps are halved.
 MAX_BITS = 1 << 28
+#: Pairs whose line lists are Python objects at once.
+ROWS = 64
 
 _U = np.uint64
 _STEP = 0x9E3779B97F4A7C15
@@ -184,6 +186,20 @@ def short_runs(hashes: np.ndarray, sizes: np.ndarray, ends: np.ndarray, min_line
     return at, stop - at, mix((sums[stop] - sums[at]) * down[at])
 
 
+def aligned_lines(batches: Iterator[pa.RecordBatch], min_block: int) -> Iterator[pa.RecordBatch]:
+    """From rows (doc, hashes, sizes, other) the numbers of lines that align with other, a few rows as Python lists at once."""
+    for batch in batches:
+        for b in (batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS)):
+            found = []
+            for mine, sizes, other in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                gone: list[int] = []
+                for i, _, n in patience_blocks(mine, other):
+                    if sum(sizes[i : i + n]) >= min_block:
+                        gone.extend(range(i, i + n))
+                found.append(gone)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], ["doc", "gone"])
+
+
 def _lines(text_col: str) -> Column:
     return F.transform(F.split(F.col(text_col), "\n", -1), lambda x: F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")))
 
@@ -195,17 +211,6 @@ def shared_blocks(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch,
     lines = scratch.keep(lines.dropDuplicates(["id", "mark"]).select(F.struct(F.col("id").isNull().alias("last"), "id", "mark").alias("doc"), "hashes", "sizes"))
     kind = lines.schema["doc"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = []
-            for mine, sizes, other in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                gone: list[int] = []
-                for i, _, n in patience_blocks(mine, other):
-                    if sum(sizes[i : i + n]) >= min_block:
-                        gone.extend(range(i, i + n))
-                found.append(gone)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], ["doc", "gone"])
-
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h, size = b.column(1), b.column(2)
@@ -220,7 +225,7 @@ def shared_blocks(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch,
         """Numbers of the lines (doc, at) that these pairs (doc, early) align."""
         early = lines.select(F.col("doc").alias("early"), F.col("hashes").alias("other"))
         both = pairs.join(lines, "doc").join(early, "early")
-        return both.select("doc", "hashes", "sizes", "other").mapInArrow(run, f"doc {kind}, gone array<int>").select("doc", F.explode("gone").alias("at"))
+        return both.select("doc", "hashes", "sizes", "other").mapInArrow(lambda batches: aligned_lines(batches, min_block), f"doc {kind}, gone array<int>").select("doc", F.explode("gone").alias("at"))
 
     placed = lines.select("doc", F.posexplode(F.arrays_zip("hashes", "sizes")).alias("at", "l")).where(F.col("l.sizes") >= min_line).select("doc", "at", F.lit(1).alias("n"), F.col("l.hashes").alias("line"))
     placed = placed.unionAll(scratch.keep(lines.select("doc", "hashes", "sizes").mapInArrow(runs, f"doc {kind}, at int, n int, line long")))
