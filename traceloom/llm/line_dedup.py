@@ -227,15 +227,25 @@ def shared_blocks(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch,
         both = pairs.join(lines, "doc").join(early, "early")
         return both.select("doc", "hashes", "sizes", "other").mapInArrow(lambda batches: aligned_lines(batches, min_block), f"doc {kind}, gone array<int>").select("doc", F.explode("gone").alias("at"))
 
+    def kept(df: DataFrame) -> DataFrame:
+        """df, written in small Arrow batches: an early document's lines come with each of its pairs."""
+        conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = conf.get(name)
+        conf.set(name, str(ROWS))
+        try:
+            return scratch.keep(df)
+        finally:
+            conf.set(name, before)
+
     placed = lines.select("doc", F.posexplode(F.arrays_zip("hashes", "sizes")).alias("at", "l")).where(F.col("l.sizes") >= min_line).select("doc", "at", F.lit(1).alias("n"), F.col("l.hashes").alias("line"))
-    placed = placed.unionAll(scratch.keep(lines.select("doc", "hashes", "sizes").mapInArrow(runs, f"doc {kind}, at int, n int, line long")))
+    placed = placed.unionAll(kept(lines.select("doc", "hashes", "sizes").mapInArrow(runs, f"doc {kind}, at int, n int, line long")))
     held = placed.select("doc", "line")
     first = held.groupBy("line").agg(F.min("doc").alias("early"), F.count("*").alias("times")).where("times > 1")
     met = held.join(first, "line")
     rare = met.where(F.col("times") <= RARE).select("line", "doc")
     both = rare.join(rare.withColumnRenamed("doc", "early"), "line").where("early < doc").select("doc", "early")  # at most RARE * (RARE - 1) / 2 a line
     pairs = met.where((F.col("times") > RARE) & (F.col("early") < F.col("doc"))).select("doc", "early").unionByName(both)
-    gone = scratch.keep(aligned(pairs.distinct()))
+    gone = kept(aligned(pairs.distinct()))
     # what the first holders leave; holders are numbered only for lines among it
     left = placed.join(first.drop("times"), "line").where("early < doc").select("doc", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("at"), "line").join(gone, ["doc", "at"], "left_anti")
     left = scratch.keep(left)
@@ -245,7 +255,7 @@ def shared_blocks(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch,
     low = 1
     while not (left := scratch.keep(left.where(F.col("own") > low))).isEmpty():
         tries = left.select("doc", "line", F.explode(F.sequence(F.lit(low), F.least(F.lit(2 * low), "own") - 1)).alias("rank")).distinct()
-        more = scratch.keep(aligned(tries.join(ranked.withColumnRenamed("doc", "early"), ["line", "rank"]).select("doc", "early").distinct()))
+        more = kept(aligned(tries.join(ranked.withColumnRenamed("doc", "early"), ["line", "rank"]).select("doc", "early").distinct()))
         gone = gone.unionAll(more)
         left = left.join(more, ["doc", "at"], "left_anti")
         low *= 2
